@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,16 +30,32 @@ def affine_fold(index: Column, folds: int = 5) -> Column:
     return F.pmod(index * FOLD_STEP + FOLD_SHIFT, F.lit(folds)).cast("int")
 
 
+def _digest_slot(text: str, buckets: int) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") % buckets
+
+
 def blake2b_bucket(col: Column, buckets: int) -> Column:
     """Bucket by the 8-byte blake2b digest, which Spark has no built-in for."""
 
     @F.pandas_udf("int")
     def bucket(keys: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(keys.astype(str))
-        slots = [
-            int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big") % buckets
-            for v in distinct
-        ]
-        return pd.Series(pd.array(slots, dtype="int32")).take(codes).reset_index(drop=True)
+        slots = np.array([_digest_slot(v, buckets) for v in distinct], dtype="int32")
+        return pd.Series(slots[codes] if len(keys) else slots)
 
     return bucket(col.cast("string"))
+
+
+def blake2b_buckets(texts: Column, buckets: int) -> Column:
+    """As ``blake2b_bucket`` for every element of an array; each id of a batch is hashed once."""
+
+    @F.pandas_udf("array<int>")
+    def bucket(lists: pd.Series) -> pd.Series:
+        lengths = lists.map(len).to_numpy()
+        flat = np.concatenate(lists.to_list()) if lengths.sum() else np.array([], dtype=object)
+        codes, distinct = pd.factorize(flat)
+        slots = np.array([_digest_slot(v, buckets) for v in distinct], dtype="int32")
+        placed = slots[codes] if len(codes) else slots
+        return pd.Series(np.split(placed, np.cumsum(lengths)[:-1]), index=lists.index)
+
+    return bucket(texts)

@@ -7,18 +7,38 @@ which keeps the cost at n log n for long sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.functions.hashing import blake2b_buckets
+
 HALF_LIFE = 10.0
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a computed value several times inside one expression while computing it once.
+
+    Stacked columns would be copied into each other when a filter is pushed below them; a lambda
+    variable cannot be.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def last_mean(items: Column, k: int) -> Column:
     """Mean of the last ``k`` elements, ignoring nulls; null when nothing is left."""
-    tail = F.slice(items, F.greatest(F.size(items) - k + 1, F.lit(1)), F.lit(k))
-    known = F.filter(tail, lambda v: v.isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return F.when(F.size(known) > 0, total / F.size(known))
+    known = F.filter(last_items(items, k), lambda v: v.isNotNull())
+
+    def mean(xs: Column) -> Column:
+        total = F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+        return F.when(F.size(xs) > 0, total / F.size(xs))
+
+    return bind(known, mean)
+
+
+def last_items(items: Column, k: int) -> Column:
+    return bind(items, lambda a: F.slice(a, F.greatest(F.size(a) - k + 1, F.lit(1)), F.lit(k)))
 
 
 def list_mean(items: Column) -> Column:
@@ -47,7 +67,7 @@ def length_bin(n: Column) -> Column:
     )
 
 
-def _run_starts(items: Column, key=lambda e: e) -> Column:
+def run_starts(items: Column, key: Callable[[Column], Column] = lambda e: e) -> Column:
     """Positions at which a run of equal neighbours begins."""
     n = F.size(items)
     spots = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -56,32 +76,41 @@ def _run_starts(items: Column, key=lambda e: e) -> Column:
     )
 
 
-def longest_run(items: Column, starts: Column) -> Column:
-    lengths = F.transform(
-        starts, lambda s, j: F.coalesce(F.get(starts, j + 1), F.size(items)) - s
-    )
-    return F.coalesce(F.array_max(lengths), F.lit(0))
+def _run_end(items: Column, starts: Column, j: Column) -> Column:
+    return F.coalesce(F.get(starts, j + 1), F.size(items))
 
 
-def with_counts(df: DataFrame, ids: str, out: str = "_runs") -> DataFrame:
-    """Add one struct per distinct id: value, count, first and last position.
+def longest_run(items: Column) -> Column:
+    """Length of the longest run of equal neighbours, 0 for an empty list."""
 
-    The steps are separate columns so that each is computed once per row.
-    """
-    pairs = F.sort_array(F.transform(F.col(ids), lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-    df = df.withColumn("_pairs", pairs)
-    df = df.withColumn("_cuts", _run_starts(F.col("_pairs"), lambda e: e["v"]))
-
-    def run(s: Column, j: Column) -> Column:
-        end = F.coalesce(F.get("_cuts", j + 1), F.size("_pairs"))
-        return F.struct(
-            F.get("_pairs", s)["v"].alias("v"),
-            (end - s).alias("n"),
-            F.get("_pairs", s)["i"].alias("first"),
-            F.get("_pairs", end - 1)["i"].alias("last"),
-        )
+    def longest(starts: Column) -> Column:
+        lengths = F.transform(starts, lambda s, j: _run_end(items, starts, j) - s)
+        return F.coalesce(F.array_max(lengths), F.lit(0))
+
+    return bind(run_starts(items), longest)
+
+
+def counts(ids: Column) -> Column:
+    """One struct per distinct id: value ``v``, count ``n``, ``first`` and ``last`` position."""
+    pairs = F.sort_array(F.transform(ids, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+
+    def describe(p: Column, starts: Column) -> Column:
+        def run(s: Column, j: Column) -> Column:
+            end = _run_end(p, starts, j)
+            return F.struct(
+                F.get(p, s)["v"].alias("v"),
+                (end - s).alias("n"),
+                F.get(p, s)["i"].alias("first"),
+                F.get(p, end - 1)["i"].alias("last"),
+            )
+
+        return F.transform(starts, run)
 
-    return df.withColumn(out, F.transform("_cuts", run)).drop("_pairs", "_cuts")
+    return bind(pairs, lambda p: bind(run_starts(p, lambda e: e["v"]), lambda s: describe(p, s)))
+
+
+def with_counts(df: DataFrame, ids: str = "_ids", out: str = "_runs") -> DataFrame:
+    return df.withColumn(out, counts(F.col(ids)))
 
 
 STAT_COLUMNS = [
@@ -90,78 +119,107 @@ STAT_COLUMNS = [
 ]
 
 
-def with_stats(df: DataFrame, ids: str = "_ids", runs: str = "_runs") -> DataFrame:
-    """The ten sequence statistics; all are 0 for an empty sequence.
+def stats(ids: Column, runs: Column) -> Column:
+    """The ten sequence statistics as a struct; all are 0 for an empty sequence.
 
     Of equally frequent ids the one seen first ranks higher. ``decayed_unique`` weights each
     distinct id by how recently it was last seen, halving every ten steps.
     """
-    n = F.size(ids)
-    ranked = F.transform(runs, lambda r: F.struct(r["n"].alias("n"), (-r["first"]).alias("f"), r["v"].alias("v")))
-    df = df.withColumn("_top", F.slice(F.sort_array(ranked, asc=False), 1, 2))
-    df = df.withColumn("_starts", _run_starts(F.col(ids)))
-    share = lambda c: F.coalesce(c, F.lit(0)) / F.greatest(n, F.lit(1))
-
-    def spread(acc: Column, r: Column) -> Column:
-        p = r["n"] / n
-        return acc - p * F.ln(p + 1e-12)
-
-    def fresh(acc: Column, r: Column) -> Column:
-        return acc + F.pow(F.lit(2.0), -(n - 1 - r["last"]) / F.lit(HALF_LIFE))
-
-    return df.withColumns(
-        {
-            "seq_len": n,
-            "uniq_cnt": F.size(runs),
-            "uniq_ratio": share(F.size(runs)),
-            "top1_id": F.coalesce(F.get("_top", F.lit(0))["v"], F.lit(0)),
-            "top1_share": share(F.get("_top", F.lit(0))["n"]),
-            "top2_share": share(F.get("_top", F.lit(1))["n"]),
-            "last_id": at_end(F.col(ids), 1, 0),
-            "entropy": F.aggregate(runs, F.lit(0.0), spread),
-            "rep_run_max": longest_run(F.col(ids), F.col("_starts")),
-            "decayed_unique": F.aggregate(runs, F.lit(0.0), fresh),
-        }
-    ).drop("_top", "_starts")
+
+    def top_two(r: Column) -> Column:
+        ranked = F.transform(
+            r, lambda e: F.struct(e["n"].alias("n"), (-e["first"]).alias("f"), e["v"].alias("v"))
+        )
+        return F.slice(F.sort_array(ranked, asc=False), 1, 2)
+
+    def all_of(a: Column, n: Column, r: Column, top: Column) -> Column:
+        first, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
+
+        def share(part: Column) -> Column:
+            return F.coalesce(part, F.lit(0)) / F.greatest(n, F.lit(1))
+
+        def spread(acc: Column, e: Column) -> Column:
+            p = e["n"] / n
+            return acc - p * F.ln(p + 1e-12)
+
+        def fresh(acc: Column, e: Column) -> Column:
+            return acc + F.pow(F.lit(2.0), -(n - 1 - e["last"]) / F.lit(HALF_LIFE))
+
+        values = [
+            n,
+            F.size(r),
+            share(F.size(r)),
+            F.coalesce(first["v"], F.lit(0)),
+            share(first["n"]),
+            share(second["n"]),
+            at_end(a, 1, 0),
+            F.aggregate(r, F.lit(0.0), spread),
+            longest_run(a),
+            F.aggregate(r, F.lit(0.0), fresh),
+        ]
+        return F.struct(*[v.alias(c) for v, c in zip(values, STAT_COLUMNS)])
+
+    return bind(
+        ids,
+        lambda a: bind(
+            F.size(a), lambda n: bind(runs, lambda r: bind(top_two(r), lambda top: all_of(a, n, r, top)))
+        ),
+    )
+
+
+def with_stats(df: DataFrame, ids: str = "_ids", runs: str = "_runs") -> DataFrame:
+    """Add the ten statistics as columns."""
+    return df.withColumn("_stats", stats(F.col(ids), F.col(runs))).select("*", "_stats.*").drop("_stats")
+
+
+def _share_of(tally: Column, key: Column, size: Column) -> Column:
+    return F.coalesce(F.try_element_at(tally, key), F.lit(0)) / size
 
 
 def with_ratios(df: DataFrame, vocab: list[int], ids: str = "_ids", runs: str = "_runs") -> DataFrame:
     """Add the share of each vocabulary id in the row's sequence, as one array in vocabulary order."""
-    counts = F.map_from_arrays(F.transform(runs, lambda r: r["v"]), F.transform(runs, lambda r: r["n"]))
-    df = df.withColumn("_tally", counts)
-    size = F.greatest(F.size(ids), F.lit(1))
     wanted = F.array(*[F.lit(v).cast("bigint") for v in vocab])
-    ratio = F.transform(
-        wanted, lambda v: F.coalesce(F.try_element_at("_tally", v), F.lit(0)) / size
-    )
-    return df.withColumn("ratio", ratio).drop("_tally")
+
+    def shares(r: Column, n: Column) -> Column:
+        tally = F.map_from_arrays(F.transform(r, lambda e: e["v"]), F.transform(r, lambda e: e["n"]))
+        return bind(tally, lambda t: F.transform(wanted, lambda v: _share_of(t, v, n)))
+
+    size = F.greatest(F.size(ids), F.lit(1))
+    return df.withColumn("ratio", bind(size, lambda n: bind(F.col(runs), lambda r: shares(r, n))))
 
 
-def with_hash_bag(df: DataFrame, bucket, dims: int = 128, ids: str = "_ids", runs: str = "_runs") -> DataFrame:
+def with_hash_bag(
+    df: DataFrame, bucket: Callable[[Column], Column], dims: int = 128, ids: str = "_ids", runs: str = "_runs"
+) -> DataFrame:
     """Add the hashed bag of ids: ``dims`` shares that sum to 1 for a non-empty sequence.
 
-    ``bucket`` maps an id column to its bucket. Only distinct ids of the row are hashed.
+    ``bucket`` maps an id to its bucket. Only the distinct ids of a row are hashed.
     """
-    slots = F.sort_array(
-        F.transform(runs, lambda r: F.struct(bucket(r["v"]).alias("b"), r["n"].alias("n")))
-    )
-    df = df.withColumn("_slots", slots)
-    df = df.withColumn("_first", _run_starts(F.col("_slots"), lambda e: e["b"]))
-
-    def total(s: Column, j: Column) -> Column:
-        end = F.coalesce(F.get("_first", j + 1), F.size("_slots"))
-        part = F.slice("_slots", s + 1, end - s)
-        return F.aggregate(part, F.lit(0), lambda acc, e: acc + e["n"])
-
-    df = df.withColumn(
-        "_bag",
-        F.map_from_arrays(
-            F.transform("_first", lambda s: F.get("_slots", s)["b"]), F.transform("_first", total)
-        ),
-    )
+    slots = F.sort_array(F.transform(runs, lambda r: F.struct(bucket(r["v"]).alias("b"), r["n"].alias("n"))))
+    return _with_bag(df, slots, dims, ids)
+
+
+def with_digest_bag(df: DataFrame, dims: int = 128, ids: str = "_ids", runs: str = "_runs") -> DataFrame:
+    """As ``with_hash_bag`` with blake2b buckets, hashed in Arrow batches."""
+    values = F.transform(runs, lambda r: r["v"].cast("string"))
+    hashed = df.withColumn("_b", blake2b_buckets(values, dims))
+    slots = F.sort_array(F.transform(runs, lambda r, j: F.struct(F.get("_b", j).alias("b"), r["n"].alias("n"))))
+    return _with_bag(hashed, slots, dims, ids).drop("_b")
+
+
+def _with_bag(df: DataFrame, slots: Column, dims: int, ids: str) -> DataFrame:
     size = F.greatest(F.size(ids), F.lit(1))
-    bag = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda b: F.coalesce(F.try_element_at("_bag", b), F.lit(0)) / size,
-    )
-    return df.withColumn("bag", bag).drop("_slots", "_first", "_bag")
+
+    def tally(s: Column, starts: Column) -> Column:
+        def total(at: Column, j: Column) -> Column:
+            part = F.slice(s, at + 1, _run_end(s, starts, j) - at)
+            return F.aggregate(part, F.lit(0), lambda acc, e: acc + e["n"])
+
+        return F.map_from_arrays(
+            F.transform(starts, lambda at: F.get(s, at)["b"]), F.transform(starts, total)
+        )
+
+    places = F.sequence(F.lit(0), F.lit(dims - 1))
+    counted = bind(slots, lambda s: bind(run_starts(s, lambda e: e["b"]), lambda st: tally(s, st)))
+    shares = bind(size, lambda n: bind(counted, lambda t: F.transform(places, lambda b: _share_of(t, b, n))))
+    return df.withColumn("bag", shares)

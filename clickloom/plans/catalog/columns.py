@@ -129,7 +129,7 @@ def infinity_to_null(spark, sf):
     return ads(spark, sf).select("event_id", casts.finite(x).alias("x"))
 
 
-@query("SELECT event_id, coalesce(least(greatest(feat_e_3 / 100, 0.000001), 0.999999), 0.5) AS p FROM impressions")
+@query("SELECT event_id, CASE WHEN feat_e_3 IS NULL THEN 0.5 ELSE least(greatest(feat_e_3 / 100, CAST(0.000001 AS DOUBLE)), CAST(0.999999 AS DOUBLE)) END AS p FROM impressions")
 def clip_probability(spark, sf):
     return ads(spark, sf).select("event_id", numeric.clip01(F.col("feat_e_3") / 100, missing=0.5).alias("p"))
 

@@ -112,7 +112,7 @@ def enriched_train_table(spark, sf):
     """Originals, encodings, sequence statistics, vocabulary ratios, hashed bag, target."""
     df = logs(spark, sf)
     fold = FOLD(F.col("event_id"))
-    enc = target_encoding.fit(df, CATS, "clicked", fold)
+    enc = target_encoding.fit(ads(spark, sf), CATS, "clicked", fold)
     vocab = features.fit_vocab(df)
     wide = features.enriched(df, enc, vocab, ["event_id", "gender", "history_a_1"], fold, narrow=False, spread=["event_id"])
     return _rounded(wide)
@@ -121,7 +121,8 @@ def enriched_train_table(spark, sf):
 @query(D_SPLIT + D_EXPLODED + _duck_te(CATS, "train") + _duck_enriched("full", "test", ""))
 def enriched_test_table(spark, sf):
     train, test = train_test(logs(spark, sf))
-    enc = target_encoding.fit(train, CATS, "clicked", FOLD(F.col("event_id")))
+    labelled, _ = train_test(ads(spark, sf))
+    enc = target_encoding.fit(labelled, CATS, "clicked", FOLD(F.col("event_id")))
     vocab = features.fit_vocab(train)
     wide = features.enriched(test, enc, vocab, ["event_id", "gender", "history_a_1"], narrow=False, spread=["event_id"])
     return _rounded(wide)
@@ -213,7 +214,7 @@ b AS (SELECT event_id, x, least(greatest(u, CAST(1e-7 AS DOUBLE)), 1 - CAST(1e-7
 t AS (SELECT *, p - CAST(0.5 AS DOUBLE) AS d, sqrt(-ln(least(p, 1 - p))) AS s FROM b),
 z AS (SELECT event_id, CASE WHEN abs(d) <= CAST(0.425 AS DOUBLE) THEN d * {ratio(mid, "(CAST(0.180625 AS DOUBLE) - d * d)")}
  WHEN s <= 5 THEN sign(d) * {ratio(near, "(s - CAST(1.6 AS DOUBLE))")} ELSE sign(d) * {ratio(far, "(s - 5)")} END AS z FROM t)
-SELECT event_id, round(least(greatest(z, -{top}), {top}), 5) + CAST(0 AS DOUBLE) AS {column} FROM {test} LEFT JOIN z USING (event_id)"""
+SELECT event_id, CASE WHEN z IS NOT NULL THEN round(least(greatest(z, -{top}), {top}), 5) + CAST(0 AS DOUBLE) END AS {column} FROM {test} LEFT JOIN z USING (event_id)"""
 
 
 @query(D_SPLIT + _duck_quantile("feat_e_3", "train", "test"))

@@ -160,13 +160,13 @@ def numbers_as_categories(spark, sf):
     )
 
 
-@query("""SELECT event_id, CAST(list_sum(list_transform(string_split(seq, ','), lambda t: length(t))) AS BIGINT) AS letters,
+@query("""SELECT event_id, CAST(length(replace(seq, ',', '')) AS BIGINT) AS letters,
 array_to_string(list_transform(string_split(seq, ','), lambda t: trim(t)), ',') AS trimmed FROM impressions""")
 def list_element_expression(spark, sf):
     p = casts.tokens("seq")
     letters = F.aggregate(p, F.lit(0).cast("bigint"), lambda acc, t: acc + F.length(t))
     return logs(spark, sf).select(
-        "event_id", letters.alias("letters"), F.array_join(F.transform(p, F.trim), ",").alias("trimmed")
+        "event_id", letters.alias("letters"), F.array_join(F.transform(p, lambda t: F.trim(t)), ",").alias("trimmed")
     )
 
 
@@ -201,8 +201,7 @@ def sequence_statistics(spark, sf):
 @query(f"{D_EXPLODED} SELECT event_id, CAST(coalesce(run, 0) AS INT) AS longest_run FROM ids LEFT JOIN runs USING (event_id)")
 def longest_run_of_equal_ids(spark, sf):
     df = logs(spark, sf).withColumn("_ids", casts.ids_lenient("seq"))
-    df = df.withColumn("_starts", sequences._run_starts(F.col("_ids")))
-    return df.select("event_id", sequences.longest_run(F.col("_ids"), F.col("_starts")).alias("longest_run"))
+    return df.select("event_id", sequences.longest_run(F.col("_ids")).alias("longest_run"))
 
 
 @query(f"{D_EXPLODED} SELECT event_id, v AS id, CAST(c AS INT) AS n, CAST(first AS INT) AS first_position, CAST(last AS INT) AS last_position FROM per_id")
@@ -234,11 +233,9 @@ def vocabulary_ratios(spark, sf):
     df = logs(spark, sf)
     vocab = features.fit_vocab(df)
     df = sequences.with_counts(df.withColumn("_ids", casts.ids_lenient("seq")), "_ids")
-    named = F.arrays_zip(F.array(*[F.lit(v).cast("bigint") for v in vocab]).alias("id"), F.col("ratio"))
-    return (
-        sequences.with_ratios(df, vocab).select("event_id", F.explode(named).alias("z"))
-        .select("event_id", F.col("z")["0"].alias("id"), r6(F.col("z.ratio")).alias("ratio")).where("ratio > 0")
-    )
+    names = F.array(*[F.lit(v).cast("bigint") for v in vocab])
+    listed = sequences.with_ratios(df, vocab).select("event_id", F.posexplode("ratio").alias("place", "ratio"))
+    return listed.where("ratio > 0").select("event_id", F.get(names, F.col("place")).alias("id"), r6("ratio").alias("ratio"))
 
 
 @query(f"""{D_EXPLODED} SELECT event_id, CAST({duck_hash('v')} % 128 AS INT) AS bucket, {d6('sum(c) / min(n)')} AS share
@@ -251,6 +248,15 @@ def hashed_bag_of_ids(spark, sf):
     )
 
 
+@query(f"""{D_EXPLODED} SELECT event_id, CAST(seq_len AS INT) AS seq_len, {d6('CASE WHEN seq_len = 0 THEN 0 ELSE 1 END')} AS total
+FROM (SELECT event_id, len(ids) AS seq_len FROM ids)""")
+def digest_bag_of_ids(spark, sf):
+    """Bag with blake2b buckets; SQL can only check its total, tests compare it with hashlib."""
+    df = sequences.with_counts(logs(spark, sf).withColumn("_ids", casts.ids_lenient("seq")))
+    total = F.aggregate("bag", F.lit(0.0), lambda acc, v: acc + v)
+    return sequences.with_digest_bag(df).select("event_id", F.size("_ids").alias("seq_len"), r6(total).alias("total"))
+
+
 # ---- row order -------------------------------------------------------------------------------
 
 @query(f"""SELECT event_id, clicked, row_number() OVER (PARTITION BY clicked ORDER BY {duck_hash('event_id', 42)}, event_id) - 1 AS hash_rank FROM impressions""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -204,21 +204,25 @@ def fit_vocab(df: DataFrame, size: int = VOCAB_SIZE, seq: str = "seq") -> list[i
 
 def with_sequence_features(
     df: DataFrame, vocab: list[int], dims: int = HASH_DIMS,
-    bucket: Callable[[Column, int], Column] = md5_bucket, seq: str = "seq",
+    digest: str = "md5", seq: str = "seq",
 ) -> DataFrame:
-    """Statistics columns plus the ``ratio`` and ``bag`` arrays, all computed inside each row."""
-    df = df.withColumn("_ids", casts.ids_lenient(seq))
-    df = sequences.with_counts(df, "_ids")
-    df = sequences.with_stats(df)
-    df = sequences.with_ratios(df, vocab)
-    df = sequences.with_hash_bag(df, lambda v: bucket(v, dims), dims)
+    """Statistics columns plus the ``ratio`` and ``bag`` arrays, all computed inside each row.
+
+    ``digest="blake2b"`` gives other buckets than the built-in md5, at the price of Arrow transfer.
+    """
+    df = sequences.with_counts(df.withColumn("_ids", casts.ids_lenient(seq)))
+    df = sequences.with_ratios(sequences.with_stats(df), vocab)
+    if digest == "blake2b":
+        df = sequences.with_digest_bag(df, dims)
+    else:
+        df = sequences.with_hash_bag(df, lambda v: md5_bucket(v, dims), dims)
     return df.drop("_ids", "_runs")
 
 
 def enriched(
     df: DataFrame, enc: target_encoding.TargetEncoding, vocab: list[int], originals: Sequence[str],
     fold: Column | None = None, dims: int = HASH_DIMS, narrow: bool = True,
-    bucket: Callable[[Column, int], Column] = md5_bucket, spread: Sequence[str] | None = None,
+    digest: str = "md5", spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """The fixed-order wide table: originals, encodings, sequence features, target last.
 
@@ -230,7 +234,7 @@ def enriched(
         if fold is not None
         else target_encoding.apply_full(df, enc, spread)
     )
-    made = with_sequence_features(encoded, vocab, dims, bucket)
+    made = with_sequence_features(encoded, vocab, dims, digest)
     whole = {"seq_len", "uniq_cnt", "top1_id", "last_id", "rep_run_max"}
 
     def sized(name: str) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clickloom.functions.sequences import bind, last_items
+
 KEEP = 20
 SLICE_MINUTES = 10
 
@@ -44,24 +46,20 @@ def with_history(
         F.lead(F.lit(1)).over(inside).isNull().alias("_closing"),
     )
     tails = local.where("_closing").select(
-        user, "_slice", _last(F.concat("_local", F.array(token)), keep).alias("_tail")
+        user, "_slice", last_items(F.concat("_local", F.array(token)), keep).alias("_tail")
     )
     earlier = Window.partitionBy(user).orderBy("_slice").rowsBetween(-keep, -1)
     carried = tails.select(
-        user, "_slice", _last(F.flatten(F.collect_list("_tail").over(earlier)), keep).alias("_carry")
+        user, "_slice", last_items(F.flatten(F.collect_list("_tail").over(earlier)), keep).alias("_carry")
     )
-    past = _last(F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_local"), keep)
+    past = last_items(F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_local"), keep)
     return (
         local.join(carried, [user, "_slice"], "left")
-        .withColumn(out, F.when(F.size(past) > 0, F.array_join(past, ",")))
+        .withColumn(out, bind(past, lambda a: F.when(F.size(a) > 0, F.array_join(a, ","))))
         .drop("_slice", "_local", "_closing", "_carry")
     )
 
 
-def _last(items: Column, k: int) -> Column:
-    return F.slice(items, F.greatest(F.size(items) - k + 1, F.lit(1)), F.lit(k))
-
-
 def impressions(spark: SparkSession, sf_dir: str, seq: bool = True) -> DataFrame:
     """Impressions with labels, categories and numbers; ``seq`` adds the history column."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
