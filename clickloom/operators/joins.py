@@ -19,6 +19,7 @@ def lookup_join(
     weight: str | None = None,
     spread: Sequence[str] | None = None,
     limit: int = BROADCAST_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Left join of ``table`` (one row per key, written to storage) onto every row of ``df``.
 
@@ -30,10 +31,10 @@ def lookup_join(
     * rows already served that way, and rows with a null key, are spread over many tasks by a hash
       of ``spread`` instead of meeting in one.
 
-    A null key matches nothing, as in any equi-join.
+    A null key matches nothing, as in any equi-join. Pass ``rows`` when the table's size is known.
     """
     on = list(on)
-    if table.count() <= limit:
+    if (table.count() if rows is None else rows) <= limit:
         return df.join(F.broadcast(table), on, "left")
 
     counted = table

@@ -16,14 +16,33 @@ SMOOTH = 50.0
 RARE_BELOW = 20
 
 
+FULL = -1
+
+
 @dataclass
 class TargetEncoding:
-    """Fitted encodings, each one row per key: ``train`` by fold, ``full`` for unseen rows."""
+    """Fitted encodings as one written table.
+
+    A row holds (column, key, fold, te, rows): the encoding for training rows of that fold, or,
+    with fold -1, for rows outside the training data. The row with a null key is the prior.
+    """
 
     cats: list[str]
-    train: DataFrame
-    full: DataFrame
-    prior: DataFrame
+    table: DataFrame
+
+    @property
+    def prior(self) -> DataFrame:
+        return self.table.where(F.col("key").isNull()).select(F.col("te").alias("prior"))
+
+    def part(self, cat: str, full: bool) -> DataFrame:
+        kind = F.col("fold") == FULL if full else F.col("fold") != FULL
+        return self.table.where((F.col("column") == cat) & F.col("key").isNotNull() & kind)
+
+    def sizes(self, full: bool) -> dict[str, int]:
+        """Rows of each category's part, read in one small job."""
+        kind = F.col("fold") == FULL if full else F.col("fold") != FULL
+        counted = self.table.where(F.col("key").isNotNull() & kind).groupBy("column").count()
+        return {r["column"]: r["count"] for r in counted.collect()}
 
 
 def fold_counts(df: DataFrame, cats: Sequence[str], label: str, fold: Column) -> DataFrame:
@@ -73,31 +92,31 @@ def fit(
     )
     train = leveled.join(
         stats.select("column", "level", "fold", out_of_fold.alias("te")), ["column", "level", "fold"]
-    ).select("column", "key", "fold", "te", "fold_rows")
+    ).select("column", "key", "fold", "te", F.col("fold_rows").alias("rows"))
+    in_full = smoothed(F.col("s"), F.col("n"), F.col("prior"), smooth)
     full = levels.join(
-        cross_one(overall, prior).select(
-            "column", "level", smoothed(F.col("s"), F.col("n"), F.col("prior"), smooth).alias("te")
-        ),
-        ["column", "level"],
-    ).select("column", "key", "te", "key_rows")
-    return TargetEncoding(
-        cats, settle(train, "te_train"), settle(full, "te_full"), settle(prior, "te_prior")
+        cross_one(overall, prior).select("column", "level", in_full.alias("te")), ["column", "level"]
+    ).select("column", "key", F.lit(FULL).alias("fold"), "te", F.col("key_rows").alias("rows"))
+    start = prior.select(
+        F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("key"),
+        F.lit(FULL).alias("fold"), F.col("prior").alias("te"), F.lit(0).cast("bigint").alias("rows"),
     )
+    return TargetEncoding(cats, settle(train.unionByName(full).unionByName(start), "target_encoding"))
 
 
 def apply_train(
     df: DataFrame, enc: TargetEncoding, fold: Column, spread: Sequence[str] | None = None, **limits
 ) -> DataFrame:
     """Add ``<cat>_te`` to training rows, without each row's own fold."""
-    df = df.withColumn("_fold", fold)
+    df, sizes = df.withColumn("_fold", fold), enc.sizes(full=False)
     for c in enc.cats:
-        part = enc.train.where(F.col("column") == c).select(
+        part = enc.part(c, full=False).select(
             F.col("key").alias("_key"), F.col("fold").alias("_fold"),
-            F.col("te").alias(f"{c}_te"), F.col("fold_rows").alias("_w"),
+            F.col("te").alias(f"{c}_te"), F.col("rows").alias("_w"),
         )
-        df = lookup_join(
-            df.withColumn("_key", na_level(c)), part, ["_key", "_fold"], "_w", spread, **limits
-        ).drop("_key", "_w")
+        keyed = df.withColumn("_key", na_level(c))
+        df = lookup_join(keyed, part, ["_key", "_fold"], "_w", spread, rows=sizes.get(c, 0), **limits)
+        df = df.drop("_key", "_w")
     return df.drop("_fold")
 
 
@@ -105,13 +124,12 @@ def apply_full(
     df: DataFrame, enc: TargetEncoding, spread: Sequence[str] | None = None, **limits
 ) -> DataFrame:
     """Add ``<cat>_te`` to new rows; keys never seen in training get the prior."""
-    df = cross_one(df, enc.prior)
+    df, sizes = cross_one(df, enc.prior), enc.sizes(full=True)
     for c in enc.cats:
-        part = enc.full.where(F.col("column") == c).select(
-            F.col("key").alias("_key"), F.col("te").alias("_te"), F.col("key_rows").alias("_w")
+        part = enc.part(c, full=True).select(
+            F.col("key").alias("_key"), F.col("te").alias("_te"), F.col("rows").alias("_w")
         )
-        df = lookup_join(df.withColumn("_key", na_level(c)), part, ["_key"], "_w", spread, **limits)
+        keyed = df.withColumn("_key", na_level(c))
+        df = lookup_join(keyed, part, ["_key"], "_w", spread, rows=sizes.get(c, 0), **limits)
         df = df.withColumn(f"{c}_te", F.coalesce("_te", "prior")).drop("_key", "_te", "_w")
     return df.drop("prior")
-
-

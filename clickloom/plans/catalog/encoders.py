@@ -102,9 +102,8 @@ LEFT JOIN runs ON runs.event_id = i.event_id LEFT JOIN wide ON wide.event_id = i
 
 
 def _rounded(df):
-    real = [*[f"{c}_te" for c in CATS], *REAL_STATS, *[w for w in df.columns if w in WIDE]]
-    done = {c: r6(c) for c in real}
-    return df.select(*[done[c].alias(c) if c in done else F.col(c) for c in df.columns])
+    real = {*[f"{c}_te" for c in CATS], *REAL_STATS, *WIDE}
+    return df.selectExpr(*[f"round({c}, 6) + 0D AS {c}" if c in real else c for c in df.columns])
 
 
 @query(D_EXPLODED + _duck_te(CATS) + _duck_enriched("oof", "impressions", ", CAST(i.clicked AS TINYINT) AS clicked"))

@@ -227,7 +227,7 @@ def enriched(
     """The fixed-order wide table: originals, encodings, sequence features, target last.
 
     With ``fold`` the rows are training rows and get out-of-fold encodings. The two vector blocks
-    stay arrays until this last projection.
+    stay arrays until this last projection. ``narrow`` stores ids and reals in four bytes.
     """
     encoded = (
         target_encoding.apply_train(df, enc, fold, spread)
@@ -235,21 +235,21 @@ def enriched(
         else target_encoding.apply_full(df, enc, spread)
     )
     made = with_sequence_features(encoded, vocab, dims, digest)
-    whole = {"seq_len", "uniq_cnt", "top1_id", "last_id", "rep_run_max"}
+    whole, real = ("int", "float") if narrow else ("int", "double")
+    counted = {"seq_len", "uniq_cnt", "rep_run_max"}
+    named = {"top1_id", "last_id"}
 
-    def sized(name: str) -> Column:
-        if not narrow:
-            return F.col(name)
-        return F.col(name).cast("int" if name in whole else "float").alias(name)
+    def sized(c: str) -> str:
+        kind = whole if c in counted or (c in named and narrow) else "bigint" if c in named else real
+        return f"CAST({c} AS {kind}) AS {c}"
 
-    real = "float" if narrow else "double"
-    target = [F.col(TARGET).cast("tinyint").alias(TARGET)] if fold is not None else []
-    return made.select(
-        *originals,
+    target = [f"CAST({TARGET} AS tinyint) AS {TARGET}"] if fold is not None else []
+    return made.selectExpr(
+        *[f"`{c}`" for c in originals],
         *[sized(f"{c}_te") for c in enc.cats],
         *[sized(c) for c in sequences.STAT_COLUMNS],
-        *[F.get("ratio", F.lit(i)).cast(real).alias(f"ratio_id_{v}") for i, v in enumerate(vocab)],
-        *[F.get("bag", F.lit(j)).cast(real).alias(f"h{j}") for j in range(dims)],
+        *[f"CAST(get(ratio, {i}) AS {real}) AS ratio_id_{v}" for i, v in enumerate(vocab)],
+        *[f"CAST(get(bag, {j}) AS {real}) AS h{j}" for j in range(dims)],
         *target,
     )
 
