@@ -188,28 +188,30 @@ def with_ratios(df: DataFrame, vocab: list[int], ids: str = "_ids", runs: str =
     return df.withColumn("ratio", bind(size, lambda n: bind(F.col(runs), lambda r: shares(r, n))))
 
 
+def bucket_counts(runs: Column, bucket: Callable[[Column], Column]) -> Column:
+    """Map from hash bucket to the number of ids in it; only distinct ids are hashed."""
+    return _slot_counts(F.transform(runs, lambda r: F.struct(bucket(r["v"]).alias("b"), r["n"].alias("n"))))
+
+
 def with_hash_bag(
     df: DataFrame, bucket: Callable[[Column], Column], dims: int = 128, ids: str = "_ids", runs: str = "_runs"
 ) -> DataFrame:
     """Add the hashed bag of ids: ``dims`` shares that sum to 1 for a non-empty sequence.
 
-    ``bucket`` maps an id to its bucket. Only the distinct ids of a row are hashed.
+    ``bucket`` maps an id to its bucket.
     """
-    slots = F.sort_array(F.transform(runs, lambda r: F.struct(bucket(r["v"]).alias("b"), r["n"].alias("n"))))
-    return _with_bag(df, slots, dims, ids)
+    return df.withColumn("bag", _dense(bucket_counts(F.col(runs), bucket), dims, F.size(ids)))
 
 
 def with_digest_bag(df: DataFrame, dims: int = 128, ids: str = "_ids", runs: str = "_runs") -> DataFrame:
     """As ``with_hash_bag`` with blake2b buckets, hashed in Arrow batches."""
     values = F.transform(runs, lambda r: r["v"].cast("string"))
     hashed = df.withColumn("_b", blake2b_buckets(values, dims))
-    slots = F.sort_array(F.transform(runs, lambda r, j: F.struct(F.get("_b", j).alias("b"), r["n"].alias("n"))))
-    return _with_bag(hashed, slots, dims, ids).drop("_b")
+    slots = F.transform(runs, lambda r, j: F.struct(F.get("_b", j).alias("b"), r["n"].alias("n")))
+    return hashed.withColumn("bag", _dense(_slot_counts(slots), dims, F.size(ids))).drop("_b")
 
 
-def _with_bag(df: DataFrame, slots: Column, dims: int, ids: str) -> DataFrame:
-    size = F.greatest(F.size(ids), F.lit(1))
-
+def _slot_counts(slots: Column) -> Column:
     def tally(s: Column, starts: Column) -> Column:
         def total(at: Column, j: Column) -> Column:
             part = F.slice(s, at + 1, _run_end(s, starts, j) - at)
@@ -219,7 +221,12 @@ def _with_bag(df: DataFrame, slots: Column, dims: int, ids: str) -> DataFrame:
             F.transform(starts, lambda at: F.get(s, at)["b"]), F.transform(starts, total)
         )
 
+    return bind(F.sort_array(slots), lambda s: bind(run_starts(s, lambda e: e["b"]), lambda st: tally(s, st)))
+
+
+def _dense(tally: Column, dims: int, size: Column) -> Column:
     places = F.sequence(F.lit(0), F.lit(dims - 1))
-    counted = bind(slots, lambda s: bind(run_starts(s, lambda e: e["b"]), lambda st: tally(s, st)))
-    shares = bind(size, lambda n: bind(counted, lambda t: F.transform(places, lambda b: _share_of(t, b, n))))
-    return df.withColumn("bag", shares)
+    return bind(
+        F.greatest(size, F.lit(1)),
+        lambda n: bind(tally, lambda t: F.transform(places, lambda b: _share_of(t, b, n))),
+    )

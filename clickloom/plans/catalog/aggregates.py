@@ -224,11 +224,11 @@ LETTERS = [0.03125, 0.0625, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375, 0.96875]
 
 
 @query("SELECT clicked, " + ", ".join(
-    f"{d6(f'quantile_cont(history_a_1, {q})')} AS q{i}" for i, q in enumerate(LETTERS)
+    f"round(quantile_cont(history_a_1, {q}), 9) AS q{i}" for i, q in enumerate(LETTERS)
 ) + " FROM impressions GROUP BY clicked")
 def letter_values_by_class(spark, sf):
     q = exact_quantiles(ads(spark, sf), "history_a_1", LETTERS, ["clicked"])
-    return q.select("clicked", *[r6(f"q{i}").alias(f"q{i}") for i in range(len(LETTERS))])
+    return q.select("clicked", *[F.round(f"q{i}", 9).alias(f"q{i}") for i in range(len(LETTERS))])
 
 
 @query(f"""

@@ -370,8 +370,10 @@ READY = ["event_id", "gender", "hour", "history_a_1", "clicked"]
 @query(D_SPLIT + """
 , lv AS (SELECT hour, CASE WHEN count(*) < 330 THEN '__RARE__' ELSE hour END AS level FROM train GROUP BY hour),
 tl AS (SELECT DISTINCT level FROM lv), hc AS (SELECT level, CAST(row_number() OVER (ORDER BY level) - 1 AS INT) AS code FROM tl),
-gc AS (SELECT level AS glevel, CAST(row_number() OVER (ORDER BY level) - 1 AS INT) AS gcode FROM (SELECT DISTINCT coalesce(gender, '__NA__') AS level FROM train)),
-base AS (SELECT event_id, gcode AS gender, code AS hour FROM test LEFT JOIN lv USING (hour) LEFT JOIN hc USING (level) LEFT JOIN gc ON coalesce(gender, '__NA__') = glevel)
+gl AS (SELECT coalesce(gender, '__NA__') AS g, CASE WHEN gender IS NOT NULL AND count(*) < 330 THEN '__RARE__' ELSE coalesce(gender, '__NA__') END AS glevel FROM train GROUP BY gender),
+gc AS (SELECT glevel, CAST(row_number() OVER (ORDER BY glevel) - 1 AS INT) AS gcode FROM (SELECT DISTINCT glevel FROM gl)),
+base AS (SELECT event_id, gcode AS gender, code AS hour FROM test LEFT JOIN lv USING (hour) LEFT JOIN hc USING (level)
+  LEFT JOIN gl ON coalesce(gender, '__NA__') = g LEFT JOIN gc USING (glevel))
 , nums AS (SELECT * FROM (""" + "WITH one AS (SELECT 1)" + _duck_quantile("history_a_1", "train", "test") + """))
 SELECT event_id, coalesce(gender, -1) AS gender, coalesce(hour, -1) AS hour, history_a_1 FROM base JOIN nums USING (event_id)""")
 def model_ready_table(spark, sf):

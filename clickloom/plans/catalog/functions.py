@@ -241,11 +241,13 @@ def vocabulary_ratios(spark, sf):
 @query(f"""{D_EXPLODED} SELECT event_id, CAST({duck_hash('v')} % 128 AS INT) AS bucket, {d6('sum(c) / min(n)')} AS share
 FROM per_id GROUP BY 1, 2""")
 def hashed_bag_of_ids(spark, sf):
-    df = sequences.with_counts(logs(spark, sf).withColumn("_ids", casts.ids_lenient("seq")), "_ids")
-    bag = sequences.with_hash_bag(df, lambda v: md5_bucket(v, 128))
-    return bag.select("event_id", F.posexplode("bag").alias("bucket", "share")).where("share > 0").select(
-        "event_id", "bucket", r6("share").alias("share")
+    """Shares of the buckets a row uses, listed without building the dense vector."""
+    df = sequences.with_counts(logs(spark, sf).withColumn("_ids", casts.ids_lenient("seq")))
+    used = df.select(
+        "event_id", F.size("_ids").alias("n"),
+        F.explode(sequences.bucket_counts(F.col("_runs"), lambda v: md5_bucket(v, 128))).alias("bucket", "c"),
     )
+    return used.select("event_id", "bucket", r6(F.col("c") / F.col("n")).alias("share"))
 
 
 @query(f"""{D_EXPLODED} SELECT event_id, CAST(seq_len AS INT) AS seq_len, {d6('CASE WHEN seq_len = 0 THEN 0 ELSE 1 END')} AS total
