@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clickloom.functions.casts import RARE, na_level
-from clickloom.operators.joins import lookup_join
+from clickloom.operators.joins import lookup_join, rows_per_column
 from clickloom.operators.ranking import dense_codes
 from clickloom.state import settle
 
@@ -41,11 +41,13 @@ def bucket_rare(
 
     Values never seen in training are left as they are.
     """
+    sizes = rows_per_column(rare)
     for c in cats:
         part = rare.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("n").alias("_n"))
         keyed = df.withColumn("_v", F.col(c).cast("string"))
         level = F.when(F.col("_n").isNotNull(), RARE).otherwise(na_level(c))
-        df = lookup_join(keyed, part, ["_v"], "_n", spread, **limits).withColumn(c, level).drop("_v", "_n")
+        df = lookup_join(keyed, part, ["_v"], "_n", spread, rows=sizes.get(c, 0), **limits)
+        df = df.withColumn(c, level).drop("_v", "_n")
     return df
 
 
@@ -61,12 +63,13 @@ def apply_codes(
     spread: Sequence[str] | None = None, **limits,
 ) -> DataFrame:
     """Replace each value by its fitted code; unseen and null values get ``unknown``."""
+    sizes = rows_per_column(codes)
     for c in cats:
         part = codes.where(F.col("column") == c).select(
             F.col("value").alias("_v"), F.col("code").alias("_code"), F.col("n").alias("_n")
         )
         keyed = df.withColumn("_v", F.col(c).cast("string"))
-        df = lookup_join(keyed, part, ["_v"], "_n", spread, **limits)
+        df = lookup_join(keyed, part, ["_v"], "_n", spread, rows=sizes.get(c, 0), **limits)
         df = df.withColumn(c + suffix, F.coalesce("_code", F.lit(unknown))).drop("_v", "_code", "_n")
     return df
 

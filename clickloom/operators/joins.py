@@ -64,6 +64,11 @@ def lookup_join(
     )
 
 
+def rows_per_column(table: DataFrame) -> dict[str, int]:
+    """Rows of each ``column`` of a fitted table, one number per fitted column."""
+    return {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
+
+
 def match_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """Join on keys where null equals null; ``small`` tables are bounded by construction and broadcast."""
     renamed = table.withColumnsRenamed({c: f"_k_{c}" for c in on})

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.joins import cross_one
-from clickloom.operators.metrics import evaluate, mean_predictions
+from clickloom.operators.metrics import evaluate
 from clickloom.operators.profile import class_ratio
-from clickloom.operators.sampling import stratified_folds, with_folds
+from clickloom.operators.sampling import stratified_folds
 from clickloom.state import settle
 
 LABEL = "clicked"
@@ -73,7 +73,7 @@ def search(df: DataFrame, features: Sequence[str], learner: Estimator, grid: lis
 
     Returns the model and a table of the mean combined score per candidate.
     """
-    folded = settle(with_folds(with_weight(df), stratified_folds(df, id_col, LABEL, folds), id_col), "search_rows")
+    folded = settle(stratified_folds(with_weight(df), id_col, LABEL, folds), "search_rows")
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     tuned = CrossValidator(
         estimator=Pipeline(stages=[assemble, learner]), estimatorParamMaps=grid,
@@ -89,14 +89,19 @@ def search(df: DataFrame, features: Sequence[str], learner: Estimator, grid: lis
 def fold_models(
     train: DataFrame, test: DataFrame, features: Sequence[str], learner: Estimator, id_col: str, folds: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """Train once per fold. Returns out-of-fold predictions of train and mean predictions of test."""
-    rows = settle(with_folds(train, stratified_folds(train, id_col, LABEL, folds), id_col), "fold_rows")
-    held, scored = [], []
+    """Train once per fold. Returns out-of-fold predictions of train and mean predictions of test.
+
+    Test rows pass through all models side by side, so the mean needs no shuffle.
+    """
+    rows = settle(stratified_folds(train, id_col, LABEL, folds), "fold_rows")
+    held, scored, names = [], test, []
     for k in range(folds):
         model = fit(rows.where(F.col("fold") != k), features, learner)
         held.append(score(rows.where(F.col("fold") == k), model, [id_col, LABEL, "fold"]))
-        scored.append(score(test, model, [id_col]))
+        scored = score(scored, model, [*test.columns, *names], f"p_{k}")
+        names.append(f"p_{k}")
     out_of_fold = held[0]
     for h in held[1:]:
         out_of_fold = out_of_fold.unionByName(h)
-    return settle(out_of_fold, "out_of_fold"), mean_predictions(scored, id_col, "p")
+    mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / folds
+    return settle(out_of_fold, "out_of_fold"), scored.select(id_col, mean.alias("p"))

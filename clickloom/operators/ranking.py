@@ -130,35 +130,68 @@ def hash_rank(
     )
 
 
-def keep_first_by_hash(
-    df: DataFrame, id_col: str, quotas: DataFrame, strata: Sequence[str] = (), seed: int = 42
+def hash_edges(
+    df: DataFrame, id_col: str, quotas: DataFrame, strata: list[str], seed: int, few: bool = True
 ) -> DataFrame:
-    """Keep exactly ``need`` rows per stratum, chosen by hash order of a unique id.
+    """The last (hash, id) allowed by each quota; null when the quota takes every row.
 
-    ``quotas`` has one row (strata columns, ``need``) for each stratum that is sampled, a handful
-    of classes; rows of other strata are dropped. A histogram of the hash finds the bucket in which
-    the quota ends, only that bucket is ranked, and the rows are then kept by comparing their hash
-    with the last one allowed. The wide rows are neither shuffled nor sorted.
+    ``quotas`` has rows (strata, ``place``, ``need``); with ``few`` they are broadcast. A histogram
+    of the hash finds the bucket in which a quota ends, and only that bucket is ranked.
     """
-    strata = list(strata)
     keyed = _hashed(df, id_col, strata, seed)
-    quotas = quotas.select(*strata, F.col("need").cast("bigint").alias("need"))
     runs = _bucket_starts(keyed, strata)
-    edge_bucket = match_join(runs, quotas, strata, "inner", small=True).where(
+    ends_in = match_join(runs, quotas, strata, "inner", small=few).where(
         (F.col("_upto") - F.col("_n") < F.col("need")) & (F.col("need") <= F.col("_upto"))
-    ).select(*strata, F.col("_b").alias("_eb"), (F.col("need") - F.col("_upto") + F.col("_n")).alias("_left"))
-    in_edge = match_join(keyed, edge_bucket, strata, "inner", small=True).where(F.col("_b") == F.col("_eb"))
-    place = F.row_number().over(Window.partitionBy(*strata, F.lit(0)).orderBy("_h", "_id"))
+    ).select(*strata, "place", "_b", (F.col("need") - F.col("_upto") + F.col("_n")).alias("_left"))
+    inside = match_join(keyed, ends_in, [*strata, "_b"], "inner", small=few)
+    rank = F.row_number().over(Window.partitionBy(*strata, "place").orderBy("_h", "_id"))
     edge = (
-        in_edge.withColumn("_r", place)
+        inside.withColumn("_r", rank)
         .where(F.col("_r") == F.col("_left"))
-        .select(*strata, F.col("_h").alias("_eh"), F.col("_id").alias("_eid"))
+        .select(*strata, "place", F.struct(F.col("_h").alias("h"), F.col("_id").alias("id")).alias("_edge"))
     )
-    cuts = match_join(quotas, edge, strata, small=True)
-    h = hash60(F.col(id_col), seed)
-    within = (h < F.col("_eh")) | ((h == F.col("_eh")) & (F.col(id_col) <= F.col("_eid")))
+    return match_join(quotas, edge, [*strata, "place"], small=few)
+
+
+def hash_spot(id_col: str, seed: int) -> Column:
+    return F.struct(hash60(F.col(id_col), seed).alias("h"), F.col(id_col).alias("id"))
+
+
+def keep_first_by_hash(
+    df: DataFrame, id_col: str, quotas: DataFrame, strata: Sequence[str] = (), seed: int = 42
+) -> DataFrame:
+    """Keep exactly ``need`` rows per stratum, chosen by hash order of a unique id.
+
+    ``quotas`` has one row (strata columns, ``need``) for each stratum that is sampled, a handful
+    of classes; rows of other strata are dropped. Rows are kept by comparing their hash with the
+    last one allowed: the wide rows are neither shuffled nor sorted.
+    """
+    strata = list(strata)
+    wanted = quotas.select(*strata, F.lit(0).alias("place"), F.col("need").cast("bigint").alias("need"))
+    cuts = hash_edges(df, id_col, wanted, strata, seed)
     return (
         match_join(df, cuts, strata, "inner", small=True)
-        .where((F.col("need") > 0) & (F.col("_eh").isNull() | within))
+        .where((F.col("need") > 0) & (F.col("_edge").isNull() | (hash_spot(id_col, seed) <= F.col("_edge"))))
         .select(*df.columns)
     )
+
+
+def even_folds(
+    df: DataFrame, id_col: str, k: int, strata: Sequence[str] = (), seed: int = 42, out: str = "fold"
+) -> DataFrame:
+    """Add a fold number: the hash order of each stratum cut into ``k`` parts of equal size.
+
+    Sizes differ by at most one row. Only the ``k - 1`` cut points per stratum are computed, so
+    the wide rows are not shuffled.
+    """
+    strata = list(strata)
+    places = F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("place")
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).select(*strata, "_n", places)
+    need = F.ceil(F.col("_n") * F.col("place") / F.lit(k)).cast("bigint").alias("need")
+    cuts = hash_edges(df, id_col, sizes.select(*strata, "place", need), strata, seed)
+    listed = cuts.groupBy(*strata).agg(
+        F.collect_list("_edge").alias("_edges")
+    )
+    spot = hash_spot(id_col, seed)
+    fold = F.size(F.filter("_edges", lambda e: spot > e))
+    return match_join(df, listed, strata, "inner", small=True).select(*df.columns, fold.alias(out))

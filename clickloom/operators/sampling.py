@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import hash60
-from clickloom.operators.joins import match_join
-from clickloom.operators.ranking import exact_quantiles, hash_rank, keep_first_by_hash
+from clickloom.operators.joins import BROADCAST_ROWS, lookup_join
+from clickloom.operators.ranking import (
+    even_folds, exact_quantiles, hash_edges, hash_spot, keep_first_by_hash,
+)
+from clickloom.state import settle
 
 PARTS = 1_000_000
 
@@ -64,14 +67,12 @@ def in_pool(id_col: str, mod: int = 10, rem: int = 0, bucket=None) -> Column:
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int, seed: int = 42) -> DataFrame:
-    """Ids with a fold number; within each class fold sizes differ by at most one row."""
-    return hash_rank(df, id_col, [label], seed).select(
-        id_col, label, F.pmod("hash_rank", F.lit(k)).cast("int").alias("fold")
-    )
+    """Add ``fold``; within each class fold sizes differ by at most one row."""
+    return even_folds(df, id_col, k, [label], seed)
 
 
 def hash_folds(id_col: str, k: int, seed: int = 42) -> Column:
-    """Fold by hash alone: classes are balanced only on average, but no row is ranked."""
+    """Fold by hash alone: classes are balanced only on average, in one projection."""
     return F.pmod(hash60(F.col(id_col), seed), F.lit(k)).cast("int")
 
 
@@ -108,14 +109,18 @@ def last_holdout(df: DataFrame, time_col: str, share: float = 0.2) -> DataFrame:
     return df.crossJoin(F.broadcast(edge)).select(*df.columns, (micros >= F.col("q0")).cast("int").alias("is_valid"))
 
 
-def with_folds(df: DataFrame, folds: DataFrame, id_col: str) -> DataFrame:
-    """Put fold numbers back on the full rows; ids are unique, so no key is hot."""
-    return df.join(folds.select(id_col, "fold"), id_col)
-
-
 def per_key_cap(df: DataFrame, id_col: str, keys: Sequence[str], most: int, seed: int = 42) -> DataFrame:
-    """Rows of every group, large groups sampled down to ``most`` rows (segment training data)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > most).select(*keys, F.lit(most).alias("need"))
-    whole = match_join(df, sizes.where(F.col("_n") <= most).drop("_n"), keys, "left_semi")
-    return whole.unionByName(keep_first_by_hash(df, id_col, large, keys, seed))
+    """Rows of every group, large groups sampled down to ``most`` rows (segment training data).
+
+    Rows without a key are kept. Any number of groups may be large: their cut points are looked up
+    like any fitted table.
+    """
+    keys = list(keys)
+    sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = settle(sizes.where(F.col("_n") > most), "large_groups")
+    quotas = large.select(*keys, F.lit(0).alias("place"), F.lit(most).cast("bigint").alias("need"))
+    few = large.count() <= BROADCAST_ROWS
+    edges = hash_edges(df, id_col, quotas, keys, seed, few).select(*keys, "_edge")
+    cuts = settle(edges.join(large, keys), "cuts")
+    kept = F.col("_n").isNull() | (hash_spot(id_col, seed) <= F.col("_edge"))
+    return lookup_join(df, cuts, keys, "_n", [id_col]).where(kept).select(*df.columns)

@@ -46,7 +46,7 @@ def fit_quantiles(
     grid = [i / (quantiles - 1) for i in range(quantiles)]
     summary = settle(
         long.groupBy("column").agg(F.count("x").alias("rows"), F.percentile("x", grid).alias("grid")),
-        "quantiles",
+        "quantile_grid",
     )
     small = summary.where(F.col("rows") < quantiles).select("column")
     all_values = (
@@ -54,11 +54,8 @@ def fit_quantiles(
         .groupBy("column")
         .agg(F.sort_array(F.collect_list("x")).alias("all_values"))
     )
-    return (
-        summary.where(F.col("rows") > 1)
-        .join(all_values, "column", "left")
-        .select("column", F.coalesce("all_values", "grid").alias("quantiles"))
-    )
+    kept = summary.where(F.col("rows") > 1).join(all_values, "column", "left")
+    return settle(kept.select("column", F.coalesce("all_values", "grid").alias("quantiles")), "quantiles")
 
 
 def to_uniform(x: Column, quantiles: list[float]) -> Column:

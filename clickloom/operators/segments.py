@@ -45,11 +45,8 @@ def _newton(df: DataFrame, keys: list[str], features: list[str], label: str, sta
     schema = weights.select(*keys, "n", *names).schema
     x = [F.lit(1.0), *[F.col(f) for f in features]]
     rows = df.select(*keys, *features, F.col(label).cast("double").alias("_y"))
-    for step in range(steps):
-        if step == 0:
-            scored = rows.join(F.broadcast(weights), keys) if weights.count() <= 1000 else rows.join(weights, keys)
-        else:
-            scored = lookup_join(rows, weights, keys, "n", spread=features).where(F.col("w0").isNotNull())
+    for _ in range(steps):
+        scored = lookup_join(rows, weights, keys, "n", spread=features).where(F.col("w0").isNotNull())
         p = sigmoid(_margin(features))
         scored = scored.withColumns({"_r": F.col("_y") - p, "_v": p * (1 - p)})
         aggs = [F.max("n").alias("n"), *[F.max(w).alias(w) for w in names]]
@@ -93,7 +90,7 @@ def fit_segments(
     start = settle(sizes.where(F.col("n") >= min_rows), "segment_sizes")
     weights = _newton(base.dropna(subset=segments), segments, features, label, start, steps, ridge)
     everyone = base.withColumn("_all", F.lit(1))
-    one = everyone.groupBy("_all").agg(F.count(F.lit(1)).alias("n"))
+    one = settle(everyone.groupBy("_all").agg(F.count(F.lit(1)).alias("n")), "all_rows")
     whole = _newton(everyone, ["_all"], features, label, one, steps, ridge)
     return SegmentModels(segments, features, scaler, weights, whole.drop("_all", "n"))
 

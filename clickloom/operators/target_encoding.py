@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.casts import RARE, na_level
-from clickloom.operators.joins import cross_one, lookup_join
+from clickloom.functions.casts import na_level
+from clickloom.operators.joins import cross_one, lookup_join, rows_per_column
 from clickloom.state import settle
 
 SMOOTH = 50.0
@@ -41,8 +41,7 @@ class TargetEncoding:
     def sizes(self, full: bool) -> dict[str, int]:
         """Rows of each category's part, read in one small job."""
         kind = F.col("fold") == FULL if full else F.col("fold") != FULL
-        counted = self.table.where(F.col("key").isNotNull() & kind).groupBy("column").count()
-        return {r["column"]: r["count"] for r in counted.collect()}
+        return rows_per_column(self.table.where(F.col("key").isNotNull() & kind))
 
 
 def fold_counts(df: DataFrame, cats: Sequence[str], label: str, fold: Column) -> DataFrame:
@@ -75,28 +74,34 @@ def fit(
     """
     cats = list(cats)
     counts = settle(fold_counts(df, cats, label, fold), "te_counts")
-    totals = counts.groupBy("column", "key").agg(F.sum("fold_rows").alias("_rows"))
-    level = F.when(F.col("_rows") < rare_below, RARE).otherwise(F.col("key"))
-    levels = totals.select("column", "key", level.alias("level"), F.col("_rows").alias("key_rows"))
-    leveled = counts.join(levels, ["column", "key"])
-    by_fold = leveled.groupBy("column", "level", "fold").agg(
-        F.sum("fold_sum").alias("fs"), F.sum("fold_rows").alias("fn")
+    totals = counts.groupBy("column", "key").agg(
+        F.sum("fold_sum").alias("s"), F.sum("fold_rows").alias("n")
     )
-    overall = by_fold.groupBy("column", "level").agg(F.sum("fs").alias("s"), F.sum("fn").alias("n"))
+    rare = F.col("n") < rare_below
     prior = counts.where(F.col("column") == cats[0]).agg(
         (F.sum("fold_sum") / F.greatest(F.sum("fold_rows"), F.lit(1))).alias("prior")
     )
-    stats = cross_one(by_fold.join(overall, ["column", "level"]), prior)
-    out_of_fold = smoothed(
-        F.col("s") - F.col("fs"), F.col("n") - F.col("fn"), F.col("prior"), smooth
+    keyed = cross_one(counts.join(totals, ["column", "key"]), prior)
+    # One row per column and fold, and one per column: the sums of the shared rare level.
+    rare_folds = keyed.where(rare).groupBy("column", "fold").agg(
+        F.sum("fold_sum").alias("rare_fs"), F.sum("fold_rows").alias("rare_fn")
+    )
+    rare_all = rare_folds.groupBy("column").agg(F.sum("rare_fs").alias("rare_s"), F.sum("rare_fn").alias("rare_n"))
+    pooled = F.broadcast(rare_folds.join(F.broadcast(rare_all), "column"))
+
+    own = smoothed(F.col("s") - F.col("fold_sum"), F.col("n") - F.col("fold_rows"), F.col("prior"), smooth)
+    shared = smoothed(
+        F.col("rare_s") - F.col("rare_fs"), F.col("rare_n") - F.col("rare_fn"), F.col("prior"), smooth
+    )
+    train = keyed.join(pooled, ["column", "fold"], "left").select(
+        "column", "key", "fold", F.when(rare, shared).otherwise(own).alias("te"), F.col("fold_rows").alias("rows")
+    )
+    full_own = smoothed(F.col("s"), F.col("n"), F.col("prior"), smooth)
+    full_shared = smoothed(F.col("rare_s"), F.col("rare_n"), F.col("prior"), smooth)
+    full = cross_one(totals.join(F.broadcast(rare_all), "column", "left"), prior).select(
+        "column", "key", F.lit(FULL).alias("fold"), F.when(rare, full_shared).otherwise(full_own).alias("te"),
+        F.col("n").alias("rows"),
     )
-    train = leveled.join(
-        stats.select("column", "level", "fold", out_of_fold.alias("te")), ["column", "level", "fold"]
-    ).select("column", "key", "fold", "te", F.col("fold_rows").alias("rows"))
-    in_full = smoothed(F.col("s"), F.col("n"), F.col("prior"), smooth)
-    full = levels.join(
-        cross_one(overall, prior).select("column", "level", in_full.alias("te")), ["column", "level"]
-    ).select("column", "key", F.lit(FULL).alias("fold"), "te", F.col("key_rows").alias("rows"))
     start = prior.select(
         F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("key"),
         F.lit(FULL).alias("fold"), F.col("prior").alias("te"), F.lit(0).cast("bigint").alias("rows"),

@@ -59,12 +59,15 @@ def tune_and_final_pools(spark, sf):
     return tune.select(F.lit("tune").alias("part"), "*").unionByName(final.select(F.lit("final").alias("part"), "*"))
 
 
-@query(f"""SELECT event_id, clicked, CAST((row_number() OVER (PARTITION BY clicked ORDER BY {H}, event_id) - 1) % 5 AS INT) AS fold FROM impressions""")
+D_FOLD5 = f"CAST((row_number() OVER (PARTITION BY clicked ORDER BY {H}, event_id) - 1) * 5 // count(*) OVER (PARTITION BY clicked) AS INT)"
+
+
+@query(f"SELECT event_id, clicked, {D_FOLD5} AS fold FROM impressions")
 def stratified_folds(spark, sf):
-    return sampling.stratified_folds(ads(spark, sf), "event_id", "clicked", 5)
+    return sampling.stratified_folds(ads(spark, sf), "event_id", "clicked", 5).select("event_id", "clicked", "fold")
 
 
-@query(f"""SELECT event_id, clicked FROM (SELECT event_id, clicked, (row_number() OVER (PARTITION BY clicked ORDER BY {H}, event_id) - 1) % 5 AS fold FROM impressions) WHERE fold = 0""")
+@query(f"SELECT event_id, clicked FROM (SELECT event_id, clicked, {D_FOLD5} AS fold FROM impressions) WHERE fold = 0")
 def stratified_holdout(spark, sf):
     return sampling.stratified_folds(ads(spark, sf), "event_id", "clicked", 5).where("fold = 0").select("event_id", "clicked")
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from clickloom.state import settle
+
+MOST_FILES = 1_000_000
+
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Deferred parquet scan; filters and column choices made later reach the file reader."""
@@ -34,8 +38,9 @@ def sql_over(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
 def with_row_index(spark: SparkSession, path: str, name: str = "row_index") -> DataFrame:
     """Parquet rows with their global position: files in path order, then position in the file.
 
-    The position inside a file comes from the reader, so no row is sorted or moved. Only the
-    per-file row counts (one short row per file) pass through a window.
+    The position inside a file comes from the reader, so no row is sorted or moved: only the
+    per-file row counts pass through a window, and they reach the rows as a broadcast of two
+    numbers per file. Beyond a million files the counts are joined by path instead.
     """
     rows = spark.read.parquet(path).select(
         "*",
@@ -44,9 +49,18 @@ def with_row_index(spark: SparkSession, path: str, name: str = "row_index") -> D
     )
     sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (
-        rows.join(starts, "_file")
-        .withColumn(name, F.col("_start") + F.col("_pos"))
-        .drop("_file", "_pos", "_start", "_rows")
+    starts = settle(
+        sizes.select(
+            "_file", F.xxhash64("_file").alias("_key"),
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        ),
+        "file_starts",
     )
+    files, keys = starts.agg(F.count(F.lit(1)), F.count_distinct("_key")).first()
+    if files == keys and files <= MOST_FILES:
+        placed = rows.withColumn("_key", F.xxhash64("_file")).join(
+            F.broadcast(starts.select("_key", "_start")), "_key"
+        )
+    else:
+        placed = rows.join(starts, "_file")
+    return placed.withColumn(name, F.col("_start") + F.col("_pos")).drop("_file", "_key", "_pos", "_start")

@@ -33,7 +33,7 @@ def write_report(df: DataFrame, path: str, title: str) -> None:
     line = F.concat_ws(": ", *[F.col(c).cast("string") for c in df.columns])
     body = df.select(line.alias("value"))
     head = df.sparkSession.createDataFrame([(title,)], "value string")
-    head.union(body).coalesce(1).write.mode("overwrite").text(path)
+    head.union(body).write.mode("overwrite").text(path)
 
 
 def append_log(df: DataFrame, path: str) -> DataFrame:

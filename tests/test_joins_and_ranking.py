@@ -98,6 +98,7 @@ def test_results_do_not_depend_on_partitioning(spark, skewed):
 def test_folds_cover_all_rows_and_are_even(spark, skewed):
     df, _ = skewed
     folds = sampling.stratified_folds(df.withColumn("y", (F.col("id") % 5 == 0).cast("int")), "id", "y", 4)
+    assert folds.columns[-1] == "fold" and len(folds.columns) == 5
     sizes = folds.groupBy("y", "fold").count().toPandas()
     assert sizes["count"].sum() == 6000
     assert sizes.groupby("y")["count"].agg(lambda s: s.max() - s.min()).max() <= 1
