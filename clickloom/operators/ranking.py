@@ -80,19 +80,18 @@ def exact_quantiles(
     totals = cum.groupBy(*by).agg(F.max("cum__n").alias("_rows"))
     placed = match_join(cum, totals, by, small=True)
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("cum__n") - F.col("_n") <= rank) & (rank < F.col("cum__n"))
-        return F.max(F.when(hit, F.col("_x")))
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN cum__n - _n <= {rank} AND {rank} < cum__n THEN _x END)"
 
     outs = []
     for i, q in enumerate(probs):
-        spot = F.lit(float(q)) * (F.col("_rows") - 1)
+        spot = f"({float(q)!r}D * (_rows - 1))"
         if method == "nearest":
-            outs.append(at(F.floor(spot + 0.5)).alias(f"q{i}"))
+            text = at(f"floor({spot} + 0.5D)")
         else:
-            low, high = at(F.floor(spot)), at(F.ceil(spot))
-            part = F.max(spot - F.floor(spot))
-            outs.append((low + (high - low) * part).alias(f"q{i}"))
+            low, high = at(f"floor({spot})"), at(f"ceil({spot})")
+            text = f"{low} + ({high} - {low}) * max({spot} - floor({spot}))"
+        outs.append(F.expr(text).alias(f"q{i}"))
     return placed.groupBy(*by).agg(*outs)
 
 

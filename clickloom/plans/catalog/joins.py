@@ -27,7 +27,7 @@ def group_stats_joined_back(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, supplier_rows, round(l_quantity - mean_quantity, 6) + CAST(0 AS DOUBLE) AS above_mean
+SELECT l_orderkey, l_linenumber, l_partkey, supplier_rows, l_quantity - mean_quantity AS above_mean
 FROM lineitem LEFT JOIN (
   SELECT l_suppkey, count(*) AS supplier_rows, avg(l_quantity) AS mean_quantity FROM lineitem GROUP BY l_suppkey
 ) USING (l_suppkey)""", raw=True)
@@ -42,7 +42,7 @@ def supplier_stats_joined_back(spark, sf):
     )
     return joined.select(
         "l_orderkey", "l_linenumber", "l_partkey", "supplier_rows",
-        r6(F.col("l_quantity") - F.col("mean_quantity")).alias("above_mean"),
+        (F.col("l_quantity") - F.col("mean_quantity")).alias("above_mean"),
     )
 
 
