@@ -47,8 +47,10 @@ def lookup_join(
     hot = counted.where(is_hot).select(
         *on, F.lit(True).alias("_hot"), F.struct(*values).alias("_from_hot")
     )
+    # Always 0, but not a literal: a constant would be dropped from the keys rows are shuffled by.
+    no_salt = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")
     cold = counted.where(~is_hot | F.col(weight).isNull()).select(
-        *on, F.lit(0).alias("_salt"), F.struct(*values).alias("_from_cold")
+        *on, no_salt.alias("_salt"), F.struct(*values).alias("_from_cold")
     )
     null_key = F.lit(False)
     for c in on:

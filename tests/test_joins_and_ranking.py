@@ -36,6 +36,22 @@ def test_large_lookup_equals_merge(spark, skewed, weight):
     assert len(a) == 6000 and a["n"].fillna(-1).tolist() == want.fillna(-1).tolist()
 
 
+def test_hot_and_null_keys_are_spread_over_tasks(spark, skewed, many_ranges):
+    """A third of the rows has one key; no shuffle task of the join may receive anything like that."""
+    df, _ = skewed
+    stats = settle(joins.with_group_stats(df, ["key"], n=F.count(F.lit(1)), m=F.avg("x")))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        big = joins.lookup_join(df, stats, ["key"], "n", ["id"], limit=0)
+        largest = big.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert big.count() == 6000 and largest < 500
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_running_totals_across_ranges(spark, skewed, many_ranges):
     df, pdf = skewed
     counts = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
