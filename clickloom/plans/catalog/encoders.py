@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from clickloom.functions import numeric
 from clickloom.functions.hashing import affine_fold
 from clickloom.operators import encoding, scaling, target_encoding
-from clickloom.operators.profile import distinct_with_null
 from clickloom.operators import joins
 from clickloom.plans import features
 from clickloom.plans.catalog.functions import D_EXPLODED, D_ITEMS, D_STATS, REAL_STATS
 from clickloom.plans.catalog.registry import D_IDS, ads, d6, duck_hash, logs, query, r6
 from clickloom.sources.impressions import CATS, train_test
-from clickloom.state import settle
 
 FOLD = affine_fold
 D_FOLD = "(event_id * 104729 + 42) % 5"

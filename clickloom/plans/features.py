@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -98,7 +99,7 @@ def _session_base(df: DataFrame, weekend: Sequence[str]) -> DataFrame:
     history = tables.match_columns(df, ".*history_.*")
     df = df.withColumns({c: casts.lenient(c) for c in ["hour", *history]})
     df = df.withColumns({c: F.log1p(c) for c in history if "history_a_" in c})
-    angle = F.col("hour") * F.lit(numeric.math.pi / 12)
+    angle = F.col("hour") * F.lit(math.pi / 12)
     n = F.size(casts.tokens("seq"))
     return df.withColumns(
         {
