@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import fingerprints, license_scan, line_dedup, mixing, packing, quality, token_counts, warc
+from clickloom.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, token_counts, warc
 from clickloom.llm.common import table
 from clickloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -113,3 +113,21 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document by the compiled transducers."""
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary(BYTE_BPE), limit=512)
+
+
+D_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+D_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, {D_WORDS.format(D_ASCII_LOWER)} AS words FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+   ELSE list_transform(generate_series(1, len(words) - 3), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS g FROM w),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y USING (g) GROUP BY ALL)
+   JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_n >= 85 * (na.n + nb.n - both_n)),
+ r AS (SELECT a AS doc_id, a AS reached FROM p UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.reached)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM documents d
+ LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""")
+def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents linked by sets of four-word shingles that are 85 % alike."""
+    return ngram_join.ngram_components(table(spark, sf, "documents"), words=4, num=85, den=100).drop("row")
