@@ -8,10 +8,13 @@ whole documents in seeded order, the last of them cut.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from clickloom.llm.common import WORD, hot_join
@@ -126,14 +129,25 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     nth = Window.partitionBy("row").orderBy(F.lit(0))
     plan = mixed.select("row", "taken", "size").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.col("taken").desc())))
     rows = docs.withColumn("row", key).withColumn("nth", F.row_number().over(nth))
-    words = F.greatest("size", F.lit(1))
     parts = F.expr("transform(sequence(1, cast(ceil(taken / greatest(size, 1)) as int)), i -> least(size, taken - (i - 1) * size))")
-    # The first n words with the white space between them, up to the end of the n-th word.
-    cut = F.regexp_extract("text", F.concat(F.lit("^(?s)((?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){"), F.col("_words").cast("string"), F.lit("})")), 1)
-    joined = rows.join(plan, ["row", "nth"]).where((F.col("taken") > 0) & (words > 0))
-    out = joined.withColumn("_words", F.explode(parts))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut)
-    out = out.withColumn("text", text)
+    out = rows.join(plan, ["row", "nth"]).where(F.col("taken") > 0).withColumn("_words", F.explode(parts))
+    whole = out.where(F.col("_words") == F.col("size"))
+    # One document per source is cut; only those pass through Python.
+    cut = out.where(F.col("_words") < F.col("size")).withColumn("text", first_words("text", "_words"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.length("text").cast("bigint"))
+    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
+
+
+@F.pandas_udf(StringType())
+def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+    """Each text up to the end of its n-th word, white space kept."""
+    word = re.compile(WORD)
+
+    def cut(t: str, k: int) -> str:
+        end = 0
+        for _, m in zip(range(k), word.finditer(t), strict=False):
+            end = m.end()
+        return t[:end]
+
+    return pd.Series([cut(t, int(k)) for t, k in zip(text, n, strict=True)], dtype=object)

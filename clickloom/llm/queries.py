@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, token_counts, warc
+from clickloom.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_counts, warc
 from clickloom.llm.common import table
 from clickloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -131,3 +131,26 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """Documents linked by sets of four-word shingles that are 85 % alike."""
     return ngram_join.ngram_components(table(spark, sf, "documents"), words=4, num=85, den=100).drop("row")
+
+
+@query(f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {D_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+ p AS (SELECT rid, unnest(generate_series(1, len(words) - 34)) AS i, words FROM w WHERE len(words) >= 35),
+ h AS MATERIALIZED (SELECT rid, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM p),
+ c AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+ g AS (SELECT DISTINCT rid, i + k AS pos FROM c, range(35) t(k)),
+ x AS (SELECT w.rid, w.doc_id, u.pos, w.words[u.pos] AS word FROM w, LATERAL (SELECT unnest(generate_series(1, len(w.words))) AS pos) u),
+ f AS (SELECT x.*, g.pos IS NOT NULL AS gone FROM x LEFT JOIN g ON g.rid = x.rid AND g.pos = x.pos),
+ s AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM f GROUP BY rid)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (rid)""")
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Words in windows of 35 words that occur more than once."""
+    cut = substring_dedup.remove_repeated(table(spark, sf, "documents"), length=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
