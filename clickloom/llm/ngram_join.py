@@ -13,6 +13,7 @@ grouped; then only pairs of sets from different groups are looked at. Every pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,9 @@ from clickloom.state import settle
 
 #: Signatures of one bucket, about.
 BUCKET_ROWS = 1_500_000
-#: Cost model: chance that a shingle is also in an unrelated document, and what such a list costs.
-COMMON, LIST_COST = 0.5, 200
+#: Cost model: signatures that one list of unrelated sets costs. Such lists come from short segments; a
+#: segment that holds ``per`` shingles on average is empty, and so in common, with a chance of exp(-per).
+LIST_COST = 80
 #: Share of a band's differences held as slack.
 SLACK = 0.12
 
@@ -59,7 +61,7 @@ class Bands:
         for d in range(need // 2 + 1):
             m = need - d
             per = (low + high) / 2 / m
-            cost = m + d * per + LIST_COST * ((m - d) * COMMON**per + d * (per + 1) * COMMON ** max(per - 1, 0))
+            cost = m + d * per + LIST_COST * ((m - d) * math.exp(-per) + d * (per + 1) * math.exp(1 - per))
             if best is None or cost < best[0]:
                 best = (cost, m, d)
             if d > 400 and cost > 2 * best[0]:
