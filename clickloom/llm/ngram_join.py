@@ -254,6 +254,15 @@ def _sets(words: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in b.column("set")]
+        if not sets:
+            continue
+        nodes = np.repeat(b.column("node").to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes)], ["shingle", "node"])
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The alike ones of pairs (a, b). A set in very many pairs is repeated under several sub-keys."""
     per = 200
@@ -299,22 +308,45 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     needed = slim.join(wanted.select("node", "row"), "row").dropDuplicates(["node", "row"])
     sets = settle(needed.select("node", "text").mapInArrow(_sets(words), "node bigint, set binary"), "join_sets")
 
-    # One partner for each set: the head of the lists it is in most often.
-    votes = kept.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    partner = votes.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+    # Shingles no other listed set holds bound what a set can share: many sets of a group of edited
+    # copies are out at once, and so are most pairs.
+    owners = sets.mapInArrow(_exploded, "shingle bigint, node bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    alone = owners.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    info = sets.select("node", (F.octet_length("set") / 8).cast("bigint").alias("total")).join(alone, "node", "left")
+    info = settle(info.select("node", "total", F.coalesce("own", F.lit(0)).alias("own")), "join_own")
+    possible = info.where(f"{den} * (total - own) >= {num} * total")
+    held = settle(kept.drop("pivot", "size").join(possible, "node"), "join_held")
+
+    def fits(x: str, y: str):
+        """Can sets x and y be alike, by their sizes and own shingles?"""
+        return (
+            (F.col(f"{y}.total") * num <= F.col(f"{x}.total") * den) & (F.col(f"{x}.total") * num <= F.col(f"{y}.total") * den)
+            & (den * (F.col(f"{x}.total") - F.col(f"{x}.own")) >= num * (F.col(f"{y}.total") + F.col(f"{x}.own")))
+            & (den * (F.col(f"{y}.total") - F.col(f"{y}.own")) >= num * (F.col(f"{x}.total") + F.col(f"{y}.own")))
+        )
+
+    # One partner for each set: of its lists' members with the fewest own shingles, the most frequent.
+    me = F.struct("own", "node", "total")
+    heads = settle(held.groupBy("run").agg(F.min(me).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "join_heads")
+    led = hot_join(held, heads, ["run"], "n", ["node"]).withColumn("me", me).where("node <> head.node").where(fits("me", "head"))
+    votes = led.groupBy("node", F.col("head.node").alias("pivot")).agg(F.count(F.lit(1)).alias("n"), F.min("head.own").alias("own"))
+    partner = votes.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("own"), "pivot")).alias("pivot"))
     tried = settle(partner.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "join_tried")
     links = settle(verify(tried, sets, num, den), "join_links")
     groups = components(links)
-    known = settle(
-        kept.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group")), "join_groups"
-    )
-    labelled = kept.join(known, "node")
+    known = settle(possible.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group")), "join_groups")
+    labelled = held.join(known, "node")
     mixed_runs = labelled.groupBy("run").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count(F.lit(1)).alias("n")).where("g0 <> g1")
-    members = settle(hot_join(labelled, mixed_runs.select("run", "n"), ["run"], "n", ["node"]).select("run", "node", "group"), "join_mixed")
-    # Pairs of different groups within a list; a list holds unrelated sets only if it is within slack of none.
-    left = members.select("run", F.col("node").alias("a"), F.col("group").alias("ga"))
-    right = members.select("run", F.col("node").alias("b"), F.col("group").alias("gb"))
-    pairs = left.join(right, (left.run == right.run) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b").distinct()
+    members = settle(
+        hot_join(labelled, mixed_runs.select("run", "n"), ["run"], "n", ["node"]).select("run", "group", me.alias("me")), "join_mixed"
+    )
+    # Pairs of different groups within a list that can still be alike.
+    left = members.select("run", F.col("me").alias("x"), F.col("group").alias("ga"))
+    right = members.select(F.col("run").alias("run_b"), F.col("me").alias("y"), F.col("group").alias("gb"))
+    near = left.join(
+        right, (F.col("run") == F.col("run_b")) & (F.col("x.node") < F.col("y.node")) & (F.col("ga") != F.col("gb")) & fits("x", "y")
+    )
+    pairs = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = settle(verify(settle(pairs.join(tried, ["a", "b"], "left_anti"), "join_pairs"), sets, num, den), "join_more")
     classes = components(links.unionByName(more))
 
