@@ -6,14 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from clickloom.functions.casts import RARE, na_level
 from clickloom.operators.joins import lookup_join, rows_per_column
-from clickloom.operators.ranking import dense_codes
+from clickloom.operators.ranking import dense_codes, running_totals
 from clickloom.state import settle
 
-MOST_DUMMIES = 1000
 
 
 def level_counts(df: DataFrame, cats: Sequence[str]) -> DataFrame:
@@ -80,28 +78,28 @@ def joint_codes(train: DataFrame, test: DataFrame, cats: Sequence[str]) -> DataF
     return fit_codes(train.select(*filled).unionByName(test.select(*filled)), cats)
 
 
-def categorify(df: DataFrame, cats: Sequence[str], most: int = 50_000, at_least: int = 0) -> DataFrame:
+def categorify(df: DataFrame, cats: Sequence[str], most: int | None = None, at_least: int = 0) -> DataFrame:
     """Ids by falling frequency, 1 for the most frequent; 0 is left for null and unknown values.
 
-    At most ``most`` ids per column, each seen at least ``at_least`` times: a top-k report.
+    Every value seen at least ``at_least`` times is numbered; ``most`` turns it into a top-k report.
     """
-    counts = settle(level_counts(df, cats), "levels").where(F.col("n") >= at_least)
-    parts = []
-    for c in cats:
-        top = counts.where(F.col("column") == c).orderBy(F.desc("n"), "value").limit(most)
-        place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-        parts.append(top.select("column", "value", place.alias("code"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return settle(out, "categorify")
-
-
-def dummy_levels(df: DataFrame, cats: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted training values per column; each becomes an output column, so they must be few."""
-    rows = level_counts(df, cats).orderBy("column", "value").limit(MOST_DUMMIES + 1).collect()
-    if len(rows) > MOST_DUMMIES:
+    counts = level_counts(df, cats).where(F.col("n") >= at_least)
+    ranked = running_totals(
+        counts.withColumns({"_less": -F.col("n"), "_one": F.lit(1)}), ["_less", "value"], ["_one"], ["column"]
+    )
+    codes = ranked.select("column", "value", F.col("cum__one").cast("int").alias("code"), "n")
+    return settle(codes if most is None else codes.where(F.col("code") <= most), "categorify")
+
+
+def dummy_levels(df: DataFrame, cats: Sequence[str], most: int | None = None) -> dict[str, list[str]]:
+    """Sorted training values per column; each becomes an output column, so the caller picks narrow columns.
+
+    ``most`` refuses wider ones before their values are listed.
+    """
+    levels = settle(level_counts(df, cats), "dummy_levels")
+    if most is not None and levels.count() > most:
         raise ValueError("too many values for one column each; use integer codes")
+    rows = levels.orderBy("column", "value").collect()
     return {c: [r["value"] for r in rows if r["column"] == c] for c in cats}
 
 

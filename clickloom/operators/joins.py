@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.state import settle
+
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 1024
 SALTS = 64
@@ -26,32 +28,27 @@ def lookup_join(
     The table's size is checked first. Up to ``limit`` rows it is broadcast and ``df`` is not moved.
     Beyond that ``df`` is shuffled by key, except that
 
-    * keys holding at least 1/1024 of the ``weight`` (their row counts; at most 1024 such keys) are
-      broadcast on their own, and
+    * keys holding at least 1/1024 of the rows of ``df`` (at most 1024 such keys, also ones the table
+      lacks) are broadcast on their own, and
     * rows already served that way, and rows with a null key, are spread over many tasks by a hash
       of ``spread`` instead of meeting in one.
 
     A null key matches nothing, as in any equi-join. Pass ``rows`` when the table's size is known.
+    ``weight`` names a count column of the table; it is only carried along.
     """
     on = list(on)
     if (table.count() if rows is None else rows) <= limit:
         return df.join(F.broadcast(table), on, "left")
 
-    counted = table
-    if weight is None:
-        weight = "_weight"
-        counted = table.join(df.groupBy(*on).agg(F.count(F.lit(1)).alias(weight)), on, "left")
-    total = counted.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * HOT_SHARE >= F.lit(total)
     values = [c for c in table.columns if c not in on]
-    hot = counted.where(is_hot).select(
-        *on, F.lit(True).alias("_hot"), F.struct(*values).alias("_from_hot")
-    )
+    # Hot keys are those of the rows at hand, whether the table holds them or not.
+    sizes = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    edge = max(2, (df.count() + HOT_SHARE - 1) // HOT_SHARE)
+    keys = settle(sizes.where(F.col("_rows") >= edge).select(*on), "hot_keys")
+    hot = keys.join(table, on, "left").select(*on, F.lit(True).alias("_hot"), F.struct(*values).alias("_from_hot"))
     # Always 0, but not a literal: a constant would be dropped from the keys rows are shuffled by.
     no_salt = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")
-    cold = counted.where(~is_hot | F.col(weight).isNull()).select(
-        *on, no_salt.alias("_salt"), F.struct(*values).alias("_from_cold")
-    )
+    cold = table.join(F.broadcast(keys), on, "left_anti").select(*on, no_salt.alias("_salt"), F.struct(*values).alias("_from_cold"))
     null_key = F.lit(False)
     for c in on:
         null_key = null_key | F.col(c).isNull()

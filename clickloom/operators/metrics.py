@@ -14,21 +14,25 @@ from clickloom.operators.ranking import running_totals
 TEMPERATURES = [0.5 + 0.05 * i for i in range(51)]
 
 
-def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score; a missing score counts as 0.5."""
-    p = clip01(F.col(score).cast("double"), missing=0.5)
+def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = (), clipped: bool = False) -> DataFrame:
+    """Positives and negatives per distinct score; a missing score counts as 0.5.
+
+    ``clipped`` brings scores into (0, 1) first, which makes very small and very large ones equal.
+    """
+    p = F.col(score).cast("double")
+    p = clip01(p, missing=0.5) if clipped else F.coalesce(p, F.lit(0.5))
     return df.groupBy(*by, p.alias("p")).agg(
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp")
     )
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision and ROC AUC per group (``by``: folds or nothing).
+def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), clipped: bool = False) -> DataFrame:
+    """Average precision and ROC AUC per group (``by``: folds or nothing) of probabilities or raw margins.
 
     Rows with equal scores are one step of the curve. AP is 0 and AUC null with one class only.
     """
     by = list(by)
-    cum = running_totals(score_counts(df, label, score, by), ["p"], ["tp", "fp"], by, descending=True)
+    cum = running_totals(score_counts(df, label, score, by, clipped), ["p"], ["tp", "fp"], by, descending=True)
     totals = cum.groupBy(*by).agg(F.max("cum_tp").alias("_pos"), F.max("cum_fp").alias("_neg"))
     steps = match_join(cum, totals, by, small=True)
     precision = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
@@ -70,7 +74,7 @@ def evaluate(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> D
     """AP, AUC, balanced log loss and the combined score, per group."""
     by = list(by)
     both = match_join(
-        ranking_metrics(df, label, score, by), balanced_log_loss(df, label, score, by), by, "inner", small=True
+        ranking_metrics(df, label, score, by, clipped=True), balanced_log_loss(df, label, score, by), by, "inner", small=True
     )
     return both.withColumn("score", 0.5 * F.col("ap") + 0.5 / (1 + F.col("wll")))
 

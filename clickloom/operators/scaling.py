@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.numeric import clip, normal_ppf
-from clickloom.operators.joins import cross_one
-from clickloom.operators.sampling import fixed_size
+from clickloom.operators.joins import cross_one, match_join
+from clickloom.operators.ranking import running_totals
 from clickloom.state import settle
 
 EDGE = 1e-7
@@ -32,30 +32,40 @@ def apply_standard(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) ->
     return cross_one(df, fitted).withColumns(scaled).select(*df.columns)
 
 
-def fit_quantiles(
-    df: DataFrame, columns: Sequence[str], id_col: str, quantiles: int = 512, sample: int = 200_000
-) -> DataFrame:
-    """Per column: an ascending array of quantiles of at most ``sample`` rows.
+def fit_quantiles(df: DataFrame, columns: Sequence[str], quantiles: int = 512) -> DataFrame:
+    """Per column: an ascending array of exact quantiles of all its values, nulls left out.
 
-    The sample size is part of the method, and it bounds what one group of the aggregate holds.
-    Columns are turned into rows so that each is summarised in its own group. A column with fewer
-    values than quantiles keeps its sorted values; one with a single value is not fitted.
+    Equal values are counted, ordered by range and given their ranks; only rows that cover a wanted
+    rank go on, about two for each quantile. A column with fewer values than quantiles keeps its
+    sorted values; one with a single value is not fitted.
     """
-    wide = fixed_size(df.select(id_col, *columns), id_col, sample)
-    long = wide.unpivot([id_col], list(columns), "column", "x").where(F.col("x").isNotNull())
-    grid = [i / (quantiles - 1) for i in range(quantiles)]
-    summary = settle(
-        long.groupBy("column").agg(F.count("x").alias("rows"), F.percentile("x", grid).alias("grid")),
-        "quantile_grid",
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
+    counts = long.where(F.col("x").isNotNull()).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    cum = running_totals(counts, ["x"], ["n"], ["column"])
+    totals = cum.groupBy("column").agg(F.max("cum_n").alias("rows"))
+    placed = match_join(cum, totals, ["column"], small=True).where("rows > 1")
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+
+    few = placed.where(F.col("rows") < quantiles).groupBy("column").agg(
+        F.sort_array(F.flatten(F.collect_list(F.array_repeat("x", F.col("n").cast("int"))))).alias("quantiles")
     )
-    small = summary.where(F.col("rows") < quantiles).select("column")
-    all_values = (
-        long.join(F.broadcast(small), "column")
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list("x")).alias("all_values"))
+    step = (F.col("rows") - 1) / F.lit(float(quantiles - 1))
+    from_place = F.greatest(F.lit(0), F.ceil((first - 1) / step)).cast("int")
+    to_place = F.least(F.lit(quantiles - 1), F.floor((last + 1) / step)).cast("int")
+    spot = (F.col("rows") - 1) * (F.col("place") / F.lit(float(quantiles - 1)))
+    near = (
+        placed.where(F.col("rows") >= quantiles)
+        .withColumns({"from_place": from_place, "to_place": to_place})
+        .where("from_place <= to_place")
+        .withColumn("place", F.explode(F.sequence("from_place", "to_place")))
+        .withColumns({"low": F.floor(spot), "high": F.ceil(spot), "share": spot - F.floor(spot)})
     )
-    kept = summary.where(F.col("rows") > 1).join(all_values, "column", "left")
-    return settle(kept.select("column", F.coalesce("all_values", "grid").alias("quantiles")), "quantiles")
+    at = lambda rank: F.max(F.when((F.col(rank) >= first) & (F.col(rank) <= last), F.col("x")))
+    points = near.groupBy("column", "place").agg(at("low").alias("low_x"), at("high").alias("high_x"), F.max("share").alias("share"))
+    value = F.when(F.col("share") == 0, F.col("low_x")).otherwise((1 - F.col("share")) * F.col("low_x") + F.col("share") * F.col("high_x"))
+    grid = points.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", value.alias("v")))).alias("points"))
+    full = grid.select("column", F.transform("points", lambda p: p["v"]).alias("quantiles"))
+    return settle(few.unionByName(full), "quantiles")
 
 
 def to_uniform(x: Column, quantiles: list[float]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import casts
 from clickloom.functions.hashing import affine_fold
-from clickloom.operators import joins, profile, sampling, target_encoding
+from clickloom.operators import joins, profile, target_encoding
 from clickloom.operators.ranking import exact_quantiles
 from clickloom.plans import features
 from clickloom.plans.catalog.registry import D_IDS, ads, d6, logs, query, r6
@@ -238,6 +238,5 @@ g AS (SELECT CAST(i AS INT) AS point, lo - 3 * h + i * ((hi - lo + 6 * h) / 199)
 SELECT point, {d6('min(x_at)')} AS x_at, {d6('sum(exp(-(pow((x_at - history_a_1) / h, 2)) / 2)) / (min(rows) * min(h) * sqrt(2 * pi()))')} AS density
 FROM g, impressions GROUP BY point""")
 def density_curve(spark, sf):
-    """Kernel density of a report-sized sample of at most 500,000 rows."""
-    sample = sampling.fixed_size(ads(spark, sf), "event_id", 500_000)
-    return profile.density(sample, "history_a_1").withColumns({"x_at": r6("x_at"), "density": r6("density")})
+    """Kernel density of all rows."""
+    return profile.density(ads(spark, sf), "history_a_1").withColumns({"x_at": r6("x_at"), "density": r6("density")})

@@ -217,7 +217,7 @@ SELECT event_id, CASE WHEN z IS NOT NULL THEN round(least(greatest(z, -{top}), {
 @query(D_SPLIT + _duck_quantile("feat_e_3", "train", "test"))
 def quantile_to_normal(spark, sf):
     train, test = train_test(ads(spark, sf))
-    fitted = scaling.fit_quantiles(train, ["feat_e_3"], "event_id")
+    fitted = scaling.fit_quantiles(train, ["feat_e_3"])
     out = scaling.apply_quantiles(test.select("event_id", "feat_e_3"), fitted, ["feat_e_3"])
     return out.withColumn("feat_e_3", F.round("feat_e_3", 5) + F.lit(0.0))
 
@@ -250,7 +250,7 @@ SELECT event_id, coalesce(gender, -1) + 1 AS gender, coalesce(age_group, -1) + 1
  {d6('ln(su + 1)')} AS log_seq_unique_count, {D_SHIFTED} AS log_history_a_2 FROM c LEFT JOIN {D_USERS} USING (l_feat_1)""")
 def exposure_recipe(spark, sf):
     df = logs(spark, sf)
-    out = features.exposure_features(df, features.fit_exposure(df), spread=["event_id"])
+    out = features.exposure_features(df, features.fit_exposure(ads(spark, sf)), spread=["event_id"])
     logged = [c for c in out.columns if c.startswith("log_")]
     return out.withColumns({c: r6(c) for c in logged}).select(
         "event_id", *CATS, "feat_e_3", "seq_length", "seq_unique_count", "gender_age_interaction",
@@ -269,7 +269,7 @@ SELECT event_id, CAST(coalesce(CAST(gender AS DOUBLE), -1) AS INT) AS gender, CA
 FROM c LEFT JOIN {D_USERS} USING (l_feat_1)""")
 def sequence_exposure_recipe(spark, sf):
     df = logs(spark, sf)
-    out = features.sequence_exposure_features(df, features.fit_exposure(df), spread=["event_id"])
+    out = features.sequence_exposure_features(df, features.fit_exposure(ads(spark, sf)), spread=["event_id"])
     real = ["last_3_items_mean", "last_5_items_mean", "log_user_exposure_count", "log_history_a_2"]
     return out.withColumns({c: r6(c) for c in real}).select(
         "event_id", "gender", "seq_length", "seq_unique_count", "last_item_in_seq", "first_item_in_seq", *real,
@@ -336,7 +336,8 @@ def session_recipe(spark, sf):
 CASE WHEN CAST(day_of_week AS INT) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend
 FROM test LEFT JOIN (SELECT inventory_id, avg(feat_a_1) AS m, stddev(feat_a_1) AS s FROM train GROUP BY 1) USING (inventory_id)""")
 def sql_recipe(spark, sf):
-    train, test = train_test(logs(spark, sf))
+    _, test = train_test(logs(spark, sf))
+    train, _ = train_test(ads(spark, sf))
     out = features.sql_features(train, test)
     return out.select(
         "event_id", r6("feat_a_1_mean").alias("feat_a_1_mean"), r6("feat_a_1_std").alias("feat_a_1_std"),
@@ -354,7 +355,7 @@ SELECT event_id, CAST(len(ids) AS INT) AS seq_length, CAST(len(list_distinct(ids
  CASE WHEN gender = '1.0' THEN 1 ELSE 0 END AS "gender_1.0", CASE WHEN gender = '2.0' THEN 1 ELSE 0 END AS "gender_2.0" FROM d""")
 def segment_recipe(spark, sf):
     df = logs(spark, sf).withColumn("seq", F.replace("seq", F.lit("x"), F.lit("")))
-    out = features.segment_features(df, encoding.dummy_levels(df, ["gender"]))
+    out = features.segment_features(df, encoding.dummy_levels(ads(spark, sf), ["gender"]))
     real = ["seq_mean", "seq_std", "hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos"]
     return out.withColumns({c: r6(c) for c in real}).select(
         "event_id", "seq_length", "seq_unique_count", "seq_max", "seq_last_1", "seq_last_2", *real,

@@ -36,27 +36,31 @@ def with_history(
 
     A plain window by user would sort one busy user's rows in one task. Instead rows are windowed
     inside (user, time slice); a slice hands at most ``keep`` tokens on, so the window by user only
-    sees one short row per slice. The result equals the plain window. ``order[0]`` is the time.
+    sees one short row per slice. The result equals the plain window: the last ``keep`` rows count,
+    null tokens among them are left out (null if none is left), rows with a null user are one user,
+    and a null time comes first. ``order[0]`` is the time.
     """
     cut = df.withColumn("_slice", _time_slice(order[0], minutes))
     inside = Window.partitionBy(user, "_slice").orderBy(*order)
     local = cut.select(
         "*",
-        F.collect_list(token).over(inside.rowsBetween(-keep, -1)).alias("_local"),
+        F.collect_list(F.struct(F.col(token).alias("t"))).over(inside.rowsBetween(-keep, -1)).alias("_local"),
         F.lead(F.lit(1)).over(inside).isNull().alias("_closing"),
     )
     tails = local.where("_closing").select(
-        user, "_slice", last_items(F.concat("_local", F.array(token)), keep).alias("_tail")
+        user, "_slice", last_items(F.concat("_local", F.array(F.struct(F.col(token).alias("t")))), keep).alias("_tail")
     )
     earlier = Window.partitionBy(user).orderBy("_slice").rowsBetween(-keep, -1)
     carried = tails.select(
-        user, "_slice", last_items(F.flatten(F.collect_list("_tail").over(earlier)), keep).alias("_carry")
+        F.col(user).alias("_user"), F.col("_slice").alias("_of"), last_items(F.flatten(F.collect_list("_tail").over(earlier)), keep).alias("_carry")
     )
-    past = last_items(F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_local"), keep)
+    last_rows = last_items(F.concat(F.coalesce("_carry", F.slice("_local", 1, 0)), "_local"), keep)
+    past = F.transform(F.filter(last_rows, lambda x: x["t"].isNotNull()), lambda x: x["t"])
+    same = F.col(user).eqNullSafe(F.col("_user")) & F.col("_slice").eqNullSafe(F.col("_of"))
     return (
-        local.join(carried, [user, "_slice"], "left")
+        local.join(carried, same, "left")
         .withColumn(out, bind(past, lambda a: F.when(F.size(a) > 0, F.array_join(a, ","))))
-        .drop("_slice", "_local", "_closing", "_carry")
+        .drop("_slice", "_local", "_closing", "_carry", "_user", "_of")
     )
 
 

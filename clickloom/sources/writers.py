@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +42,14 @@ def append_log(df: DataFrame, path: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
-    """Return the table at ``path``, building it only when absent; the flag tells if it was built."""
-    try:
+    """Return the table at ``path``, building it only when absent; the flag tells if it was built.
+
+    A table is there if its writer finished (``_SUCCESS``); a folder without that mark is what a job
+    cut short left, and is built anew. Any other trouble in reading is raised.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         return spark.read.parquet(path), False
-    except AnalysisException:
-        write_parquet(build(), path)
-        return spark.read.parquet(path), True
+    write_parquet(build(), path)
+    return spark.read.parquet(path), True

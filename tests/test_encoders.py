@@ -119,7 +119,7 @@ def test_quantile_transform(spark):
         [(i, float(big[i]), float(few[i]) if i < 20 else None, 1.0 if i == 0 else None) for i in range(3000)],
         "id int, big double, few double, single double",
     )
-    fitted = scaling.fit_quantiles(train, ["big", "few", "single"], "id")
+    fitted = scaling.fit_quantiles(train, ["big", "few", "single"])
     probe = [0.0, 1.0, 2.0, 15.0, 37.5, 1000.0, -5.0]
     test = spark.createDataFrame([(i, v, v / 10, v) for i, v in enumerate(probe)] + [(99, None, None, None)],
                                  "id int, big double, few double, single double")
@@ -143,3 +143,13 @@ def test_blake2b_bucket(spark):
     df = spark.range(50).select("id", blake2b_bucket(F.col("id"), 10).alias("b"))
     for r in df.collect():
         assert r["b"] == int(hashlib.blake2b(str(r["id"]).encode(), digest_size=8).hexdigest(), 16) % 10
+
+
+def test_no_value_is_lost_in_large_tables(spark):
+    df = spark.range(250_000).selectExpr("id", "id AS wide", "CASE WHEN id < 5 THEN id * 1.0D END AS sparse", "CAST(id AS double) AS x")
+    fitted = {r["column"]: r["quantiles"] for r in scaling.fit_quantiles(df, ["sparse", "x"]).collect()}
+    assert fitted["sparse"] == [0.0, 1.0, 2.0, 3.0, 4.0]
+    assert len(fitted["x"]) == 512 and (fitted["x"][0], fitted["x"][-1]) == (0.0, 249_999.0)
+    codes = encoding.categorify(df, ["wide"])
+    assert codes.count() == 250_000 and codes.agg({"code": "max"}).first()[0] == 250_000
+    assert len(encoding.dummy_levels(df.limit(1500), ["wide"])["wide"]) == 1500

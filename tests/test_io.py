@@ -43,3 +43,12 @@ def test_only_large_groups_are_cut(spark):
     want = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
     got = {r["k"]: r["count"] for r in sampling.per_key_cap(df, "id", ["k"], 500).groupBy("k").count().collect()}
     assert want["small"] > 500 and got == {"big": want["big"], "small": 500, None: want[None]}
+
+
+def test_half_written_stage_is_built_anew(spark, tmp_path):
+    path = str(tmp_path / "half")
+    spark.range(10).repartition(2).write.parquet(path)
+    (tmp_path / "half" / "_SUCCESS").unlink()
+    out, built = writers.stage(spark, path, lambda: spark.range(7))
+    assert built and out.count() == 7
+    assert writers.stage(spark, path, lambda: spark.range(3))[1] is False

@@ -133,3 +133,10 @@ def test_stream_equals_batch_and_restarts_without_repeats(spark):
     out = score_arrivals(spark, source, schema, scorer, sink, marks)
     batch = scorer(spark.read.schema(schema).parquet(source))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_auc_of_margins_and_tiny_scores(spark):
+    for scores in ([3.0, 2.0, -1.0, -2.0], [0.4, 3e-7, 2e-7, 1e-8]):
+        df = spark.createDataFrame(list(zip([1, 1, 0, 0], scores, strict=True)), "y int, p double")
+        row = metrics.ranking_metrics(df, "y", "p").first()
+        assert (row["auc"], row["ap"]) == (1.0, 1.0)
