@@ -126,14 +126,19 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     # Rows equal in id and text were mixed one by one: give the n-th row the n-th decision.
-    nth = Window.partitionBy("row").orderBy(F.lit(0))
-    plan = mixed.select("row", "taken", "size").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy(F.col("taken").desc())))
-    rows = docs.withColumn("row", key).withColumn("nth", F.row_number().over(nth))
-    parts = F.expr("transform(sequence(1, cast(ceil(taken / greatest(size, 1)) as int)), i -> least(size, taken - (i - 1) * size))")
-    out = rows.join(plan, ["row", "nth"]).where(F.col("taken") > 0).withColumn("_words", F.explode(parts))
-    whole = out.where(F.col("_words") == F.col("size"))
+    by_taken = Window.partitionBy("row").orderBy(F.col("taken").desc())
+    plan = mixed.where("taken is not null").select(
+        F.col("row").alias("_mix_row"), F.row_number().over(by_taken).alias("_mix_nth"), F.col("taken").alias("_mix_taken"), F.col("size").alias("_mix_size")
+    )
+    nth = F.row_number().over(Window.partitionBy("_mix_row").orderBy(F.lit(0)))
+    rows = docs.withColumn("_mix_row", key).withColumn("_mix_nth", nth)
+    parts = F.expr(
+        "transform(sequence(1, cast(ceil(_mix_taken / greatest(_mix_size, 1)) as int)), i -> least(_mix_size, _mix_taken - (i - 1) * _mix_size))"
+    )
+    out = rows.join(plan, ["_mix_row", "_mix_nth"]).where("_mix_taken > 0").withColumn("_mix_words", F.explode(parts))
+    whole = out.where("_mix_words = _mix_size")
     # One document per source is cut; only those pass through Python.
-    cut = out.where(F.col("_words") < F.col("size")).withColumn("text", first_words("text", "_words"))
+    cut = out.where("_mix_words < _mix_size").withColumn("text", first_words("text", "_mix_words"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast("bigint"))
     return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))

@@ -141,7 +141,7 @@ def fit_trees(
     the children's values stay on their side of the split's middle.
     """
     n, m = x.shape
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(m)]
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(m)] if n else [np.zeros(0)] * m
     codes = np.column_stack([np.searchsorted(cuts[f], x[:, f], "left") for f in range(m)]) if m else np.zeros((n, 0), int)
     rate0 = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
     base = float(np.log(rate0 / (1 - rate0)))
