@@ -22,7 +22,7 @@ from clickloom.state import settle
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it forgets all and starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 600_000
 #: Rows of a batch on the way back to Spark.
 OUT_BYTES = 4_000_000
 
