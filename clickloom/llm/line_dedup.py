@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clickloom.llm.common import SPACE, texts
+from clickloom.llm.common import texts
 from clickloom.state import settle
 
+#: The characters stripped at both ends of a line.
+BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 STREAMED = pa.schema([
@@ -35,9 +37,11 @@ STREAMED_DDL = (
 NO_ID = -(2**63)
 
 
-def line_key():
-    line = F.regexp_replace("line", f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return F.translate(line, UPPER, LOWER)
+def line_key() -> Column:
+    """The line without white space at its ends, A-Z lowered; translate only where a line is not ASCII."""
+    line = F.btrim("line", F.lit(BLANKS))
+    ascii_only = F.octet_length("line") == F.length("line")
+    return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def _stream(min_docs: int):
@@ -148,7 +152,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
         .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "row", "pos")
     )
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("row"), F.col("pos")]
-    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written first: drawing the range borders reads its input once more, and that should not be the texts.
+    ranged = settle(lines, "line_hashes").repartitionByRange(*order).sortWithinPartitions(*order)
     streamed = settle(ranged.mapInArrow(_stream(min_docs), STREAMED_DDL), "line_ranges")
 
     # Two summaries per range at most, so this table is bounded by the number of ranges.
