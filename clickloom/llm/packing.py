@@ -8,6 +8,10 @@ side, marked as such.
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +25,60 @@ from clickloom.state import settle
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; beyond that it forgets all and starts anew.
-MEMORY_WORDS = 600_000
+#: Words, and parts of words, that one age of a worker's memory holds; there are two ages.
+MEMORY_WORDS = 300_000
 #: Rows of a batch on the way back to Spark.
 OUT_BYTES = 4_000_000
 
 TOKENIZED = "doc_id bigint, part int, place bigint, local_start bigint, n_tokens bigint, ids binary"
 
 
-class WordIds(dict):
+# How the tokenizer file splits normalised text, and the last letter that the short way takes.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LAST_LETTER = 0x52F
+
+
+class Remembered(dict):
+    """Ids of short keys, in two ages: a full young one becomes the old one, and keys seen again return from it."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.find(key)
+        if len(key) <= 64:
+            if len(self) >= MEMORY_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class PartIds(Remembered):
+    """Ids of a part: a run of letters, a digit, a run of signs or a contraction, by the tokenizer's own merges."""
+
+    def __init__(self, tokenizer, to_bytes: dict[int, str]):
+        super().__init__()
+        self.model, self.to_bytes = tokenizer.model, to_bytes
+
+    def find(self, key: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(key if key.isascii() else key.translate(self.to_bytes))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class WordIds(Remembered):
     """Ids of a piece of text without blanks or line feeds, found by the tokenizer when first seen.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces in order.
+    pieces in order. A new piece of printable ASCII characters and plain alphabetic letters is split
+    here as the tokenizer splits it, and its parts are remembered too; any other piece, and one that
+    may hold a special string, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -43,14 +88,37 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= MEMORY_WORDS:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.fits = None
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"].get("pretokenizers", [])
+        if [s.get("pattern", {}).get("Regex") for s in steps] == [SPLIT, None]:
+            self._learn_letters()
+
+    def _learn_letters(self) -> None:
+        """Ask the tokenizer what it makes of each single character of the short way."""
+        normal, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.lower, to_bytes, letters = {}, {}, set()
+        for c in map(chr, [*range(0x21, 0x7F), *range(0xA0, LAST_LETTER + 1)]):
+            low = normal(c)
+            if c >= "\x80" and not (c.isalpha() and len(low) == 1 and len(cut(f"a{low}a")) == 1):
+                continue
+            self.lower[ord(c)] = low
+            to_bytes[ord(low)] = cut(low)[0][0]
+            if low.isalpha():
+                letters.add(low)
+        letter = "".join(sorted(letters))
+        self.special = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.fits = re.compile(f"[{re.escape(''.join(map(chr, self.lower)))}]+").fullmatch
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[0-9]|[^0-9{letter}]+").findall
+        self.parts = PartIds(self.tokenizer, to_bytes)
+
+    def find(self, key: str) -> bytes:
+        if self.fits and self.special not in key:
+            if key.isascii() and key.isprintable():
+                low = key.lower()
+                return b"".join(map(self.parts.__getitem__, (low,) if low.isalpha() else self.split(low)))
+            if self.fits(key):
+                return b"".join(map(self.parts.__getitem__, self.split(key.translate(self.lower))))
+        return np.array(self.tokenizer.encode(key, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _LOADED: dict[str, WordIds] = {}
