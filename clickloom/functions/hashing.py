@@ -47,7 +47,11 @@ def blake2b_bucket(col: Column, buckets: int) -> Column:
 
 
 def blake2b_buckets(texts: Column, buckets: int) -> Column:
-    """As ``blake2b_bucket`` for every element of an array; each id of a batch is hashed once."""
+    """As ``blake2b_bucket`` for every element of an array; each id of a batch is hashed once.
+
+    Marked as not deterministic only so that a filter on a result exploded later is not built from a
+    second copy of the call, which Spark cannot evaluate there.
+    """
 
     @F.pandas_udf("array<int>")
     def bucket(lists: pd.Series) -> pd.Series:
@@ -58,4 +62,4 @@ def blake2b_buckets(texts: Column, buckets: int) -> Column:
         placed = slots[codes] if len(codes) else slots
         return pd.Series(np.split(placed, np.cumsum(lengths)[:-1]), index=lists.index)
 
-    return bucket(texts)
+    return bucket.asNondeterministic()(texts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from clickloom.functions import casts, numeric, sequences
@@ -147,10 +149,17 @@ def hash_buckets_and_folds(spark, sf):
     )
 
 
-@query()
+def _duck_digests(buckets: int) -> str:
+    """(key, slot) of the 18 item ids by hashlib: SQL has no blake2b."""
+    slots = [(k, int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "big") % buckets) for k in range(18)]
+    return "(VALUES " + ", ".join(f"({k}, {slot})" for k, slot in slots) + ") AS digests(key, slot)"
+
+
+@query(f"""SELECT "ID", inventory_id, CAST(slot AS INT) AS bucket FROM impressions
+LEFT JOIN {_duck_digests(10)} ON key = CAST(inventory_id AS INT)""")
 def blake2b_buckets(spark, sf):
-    """Buckets by blake2b, which plain SQL does not have; tests compare it with hashlib."""
-    return ads(spark, sf).select("ID", blake2b_bucket(F.col("ID"), 10).alias("bucket"))
+    """Buckets of item ids by blake2b; tests compare other texts with hashlib."""
+    return ads(spark, sf).select("ID", "inventory_id", blake2b_bucket(F.col("inventory_id"), 10).alias("bucket"))
 
 
 @query("SELECT event_id, CAST(feat_c_2 AS VARCHAR) AS user_text, CAST(clicked AS VARCHAR) AS label_text FROM impressions")
@@ -250,13 +259,13 @@ def hashed_bag_of_ids(spark, sf):
     return used.select("event_id", "bucket", r6(F.col("c") / F.col("n")).alias("share"))
 
 
-@query(f"""{D_EXPLODED} SELECT event_id, CAST(seq_len AS INT) AS seq_len, {d6('CASE WHEN seq_len = 0 THEN 0 ELSE 1 END')} AS total
-FROM (SELECT event_id, len(ids) AS seq_len FROM ids)""")
+@query(f"""{D_EXPLODED} SELECT event_id, CAST(slot AS INT) AS bucket, {d6('sum(c) / min(n)')} AS share
+FROM per_id LEFT JOIN {_duck_digests(128)} ON key = v GROUP BY 1, 2""")
 def digest_bag_of_ids(spark, sf):
-    """Bag with blake2b buckets; SQL can only check its total, tests compare it with hashlib."""
+    """The used places of a dense bag with blake2b buckets."""
     df = sequences.with_counts(logs(spark, sf).withColumn("_ids", casts.ids_lenient("seq")))
-    total = F.aggregate("bag", F.lit(0.0), lambda acc, v: acc + v)
-    return sequences.with_digest_bag(df).select("event_id", F.size("_ids").alias("seq_len"), r6(total).alias("total"))
+    listed = sequences.with_digest_bag(df).select("event_id", F.posexplode("bag").alias("bucket", "share"))
+    return listed.where("share > 0").select("event_id", "bucket", r6("share").alias("share"))
 
 
 # ---- row order -------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -69,6 +70,43 @@ def batch_scoring(spark, sf):
     return models.score(test, models.fit(train, NUMBERS, models.linear()), ["event_id"])
 
 
+def _is_probability(p="p"):
+    return F.coalesce(F.col(p).between(0, 1), F.lit(False))
+
+
+@query("SELECT event_id, learner, true AS is_probability FROM impressions, (VALUES ('trees'), ('factors')) l(learner) WHERE event_id % 5 = 4")
+def every_row_scored_by_each_learner(spark, sf):
+    """Boosted trees and factorisation machine: each test row has one probability from each."""
+    train, test = _model_rows(spark, sf)
+    learners = {"trees": models.boosted_trees(rounds=3, depth=2), "factors": models.factor_machine(rounds=3)}
+    scored = [
+        models.score(test, models.fit(train, NUMBERS, learner), ["event_id"]).select("event_id", F.lit(name).alias("learner"), _is_probability().alias("is_probability"))
+        for name, learner in learners.items()
+    ]
+    return scored[0].unionByName(scored[1])
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN 'out of fold' ELSE 'mean of folds' END AS kind,
+true AS is_probability FROM impressions""")
+def fold_predictions_of_all_rows(spark, sf):
+    """Train rows scored by the model that did not see them, test rows by the mean of the fold models."""
+    train, test = _model_rows(spark, sf)
+    held, mean = models.fold_models(train, test, NUMBERS, models.linear(rounds=3), "event_id", folds=3)
+    parts = [df.select("event_id", F.lit(kind).alias("kind"), _is_probability().alias("is_probability")) for kind, df in (("out of fold", held), ("mean of folds", mean))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT event_id, true AS is_probability, true AS same_after_reload FROM impressions WHERE event_id % 5 = 4")
+def model_saved_and_reloaded(spark, sf):
+    """A fitted pipeline written, read again and applied: scores equal those of the model in memory."""
+    train, test = _model_rows(spark, sf)
+    model = models.fit(train, NUMBERS, models.linear(rounds=5))
+    path = new_path(spark, "click_model")
+    model.write().overwrite().save(path)
+    both = models.score(models.score(test, model, test.columns, "p"), PipelineModel.load(path), ["event_id", "p"], "q")
+    return both.select("event_id", _is_probability().alias("is_probability"), F.col("p").eqNullSafe(F.col("q")).alias("same_after_reload"))
+
+
 @query(D_SPLIT + _duck_te(CATS, "train") + ' SELECT "ID", ' + ", ".join(
     d6(f"coalesce(full_{c}.te, (SELECT prior FROM prior))") + f" AS {c}_te" for c in CATS
 ) + " " + _duck_te_join(CATS, "full", "test"))
