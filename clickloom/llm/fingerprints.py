@@ -1,11 +1,15 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame expressions only.
 
-Terms are shingles of five words, weighted by how often a text holds them. Every term draws r and c from
-Gamma(2, 1) and beta from (0, 1), all fixed by the term; with weight S it takes
-t = floor(ln S / r + beta), y = exp(r (t - beta)) and a = c / (y exp(r)). The smallest a of the terms is
-one sample: two texts have the same one with a probability equal to the generalised Jaccard similarity
-of their weights. A term takes part in one of ``BINS`` samples, chosen by its hash, so a text costs one
-draw per term and not one per term and sample; samples without a term in either text are left out.
+Terms are shingles of five words, weighted by how often a text holds them. The occurrences of a term are
+numbered and each is dealt to one of ``BINS`` samples by a hash of the term and its number, so a text costs
+one draw per occurrence at most and not one per term and sample. In a sample a term has the weight S that was
+dealt there. Every term draws r and c from Gamma(2, 1) and beta from (0, 1) there, all fixed by term and
+sample; it takes t = floor(ln S / r + beta), y = exp(r (t - beta)) and a = c / (y exp(r)). The smallest a of
+the terms is the sample.
+
+If x and y are the weights of a term in two texts, the first min(x, y) occurrences are dealt alike in both. So
+the two texts have the same sample, of those that either has, with a probability equal to the generalised
+Jaccard similarity of their whole weights.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ def _list(values: list[float]) -> Column:
 
 
 def sample(term: Column, weight: Column | None = None) -> Column:
-    """One term's draw as a number: its bin in the high bits, then ln a. Equal draws mean equal (term, t).
+    """One term's draw in one bin as a number: the bin in the high bits, then ln a. Equal draws mean equal (term, t).
 
     The bits of the term's hash give, in turn, the bin, r and c (shares of Gamma(2, 1)) and beta.
     Without ``weight`` the weight is one, for which t is 0.
@@ -63,6 +67,25 @@ def sample(term: Column, weight: Column | None = None) -> Column:
     return F.shiftleft(term.bitwiseAND(F.lit(BINS - 1)), 56).bitwiseOR(low)
 
 
+def samples_of(term: Column, weight: Column) -> Column:
+    """The draws of a term in all bins that its occurrences are dealt to.
+
+    The first occurrence is in the bin of the term's hash, with the draw of a term held once; the others
+    are dealt by hash, and in other bins the term's hash is made anew.
+    """
+    mask = F.lit(BINS - 1)
+    own = term.bitwiseAND(mask).cast("int")
+    dealt = F.transform(
+        F.sequence(F.lit(0), weight - 1), lambda i: F.when(i == 0, own).otherwise(F.xxhash64(term, i).bitwiseAND(mask).cast("int"))
+    )
+    there = lambda k: F.when(k == own, term).otherwise(
+        F.shiftleft(F.shiftright(F.xxhash64(F.lit("bin"), term, k), BIN_BITS), BIN_BITS).bitwiseOR(k.cast("bigint"))
+    )
+    held = lambda x, bins: F.size(bins) - F.size(F.array_remove(bins, x.bitwiseAND(mask).cast("int")))
+    drawn = lambda bins: F.transform(F.transform(F.array_distinct(bins), there), lambda x: sample(x, held(x, bins)))
+    return F.flatten(F.transform(F.array(dealt), drawn))
+
+
 def with_samples(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: the sorted samples of a text column, at most one per bin; empty without words.
 
@@ -80,10 +103,14 @@ def with_samples(df: DataFrame, text: str, out: str) -> DataFrame:
     starts = F.filter(
         F.sequence(F.lit(0), F.size(q) - 1), lambda i: (i == 0) | (F.get(F.col(q), i) != F.get(F.col(q), i - 1))
     )
+    weight = lambda at, j: F.coalesce(F.get(F.col(p), j + 1), F.size(q)) - at
     weighed = F.transform(
-        p, lambda at, j: sample(F.get(F.col(q), at), F.coalesce(F.get(F.col(p), j + 1), F.size(q)) - at)
+        p,
+        lambda at, j: F.when(weight(at, j) == 1, F.array(sample(F.get(F.col(q), at)))).otherwise(
+            samples_of(F.get(F.col(q), at), weight(at, j))
+        ),
     )
-    drawn = F.when(F.size(q) > 0, weighed).otherwise(F.transform(s, lambda x: sample(x)))
+    drawn = F.when(F.size(q) > 0, F.flatten(weighed)).otherwise(F.transform(s, lambda x: sample(x)))
     firsts = F.filter(
         a, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(F.col(a), i - 1), 56))
     )

@@ -246,6 +246,36 @@ def test_fingerprints(docs, corpus, nothing):
     assert fingerprints.fingerprints(nothing).count() == 0
 
 
+def test_fingerprints_of_repetitive_texts_weigh_every_occurrence(spark):
+    """Single pairs of texts whose likeness hangs on weights, against their exact generalised Jaccard."""
+    rnd = random.Random(8)
+    fresh = lambda n: " ".join(f"w{rnd.randrange(1 << 40)}" for _ in range(n))
+    phrase, other, shared, line = fresh(5), fresh(5), fresh(204), fresh(12)
+    times = lambda x, n: " ".join([x] * n)
+    pairs = [
+        (times(phrase, 130) + " " + fresh(100), times(phrase, 130) + " " + fresh(100)),
+        (shared + " " + times(phrase, 130), shared + " " + times(phrase, 5)),
+        (shared + " " + times(line, 2) + " " + fresh(60), shared + " " + line + " " + fresh(60)),
+        (times(phrase, 60) + " " + times(other, 20), times(phrase, 20) + " " + times(other, 60)),
+        (times("a", 3000), times("a", 1000)),
+        (times(line, 90), times(line, 90) + " " + shared),
+        (shared + " " + fresh(70), shared + " " + fresh(70)),
+    ]
+    # Each pair in 30 dealings: words renamed, so that all draws are new.
+    renamed = lambda x, k: " ".join(f"{w}_{k}" for w in x.split(" "))
+    rows = [(n, renamed(a, k), renamed(b, k)) for n, (a, b) in enumerate(pairs) for k in range(30)]
+    df = spark.createDataFrame(rows, "n int, a string, b string").repartition(8)
+    sampled = fingerprints.with_samples(fingerprints.with_samples(df, "a", "x"), "b", "y")
+    near = {}
+    for r in sampled.select("n", fingerprints.likeness("x", "y").alias("near")).collect():
+        near.setdefault(r["n"], []).append(r["near"])
+    for n, pair in enumerate(pairs):
+        a, b = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(words, pair))
+        exact = sum((a & b).values()) / sum((a | b).values())
+        assert abs(np.mean(near[n]) - exact) < 0.03, (n, np.mean(near[n]), exact)
+        assert max(abs(x - exact) for x in near[n]) < 0.25
+
+
 def brute_kept(rows, size):
     where = Counter()
     split = [words(t) for _, t, _ in rows]
