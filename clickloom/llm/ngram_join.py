@@ -278,12 +278,13 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) of every row: classes of documents linked by similar shingle sets.
+    """(doc_id, row, n_shingles, component_id, label) of every row: classes of documents linked by similar shingle sets.
 
     A-Z are lowered; a text of fewer than ``words`` words is one shingle, one without words has no
     shingle and is linked with nothing. Two rows link when den * |intersection| >= num * |union|;
     component_id is the smallest doc_id reachable (a null id counts as largest). Rows that repeat an id
-    are documents of their own with the same id.
+    are documents of their own with the same id, so unrelated rows may share a component_id, or all have
+    null; ``label`` names the class itself and is null only for rows without words.
     """
     spark = docs.sparkSession
     slim = texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -354,9 +355,10 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     labelled_sets = alike.join(classes, "node", "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
     best = labelled_sets.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     settled = settle(
-        hot_join(labelled_sets, best, ["label"], "sets", ["node", "node2"], "left").select("node", "node2", "component_id", "n"), "join_classes"
+        hot_join(labelled_sets, best, ["label"], "sets", ["node", "node2"], "left").select("node", "node2", "component_id", "label", "n"), "join_classes"
     )
     out = hot_join(keyed, settled, ["node", "node2"], "n", ["row"], "left")
     return out.select(
-        "doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "label",
     )

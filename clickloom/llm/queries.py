@@ -130,7 +130,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
  LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)""")
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """Documents linked by sets of four-word shingles that are 85 % alike."""
-    return ngram_join.ngram_components(table(spark, sf, "documents"), words=4, num=85, den=100).drop("row")
+    return ngram_join.ngram_components(table(spark, sf, "documents"), words=4, num=85, den=100).drop("row", "label")
 
 
 @query(f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {D_WORDS.format("coalesce(text, '')")} AS words FROM documents),

@@ -32,19 +32,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id.
+    """One document of each class of near duplicates: the one with the smallest id, a null id last.
 
-    Five-word shingles, similarity of 0.8. Documents without words stay. Of rows with equal id the one
-    with the smallest text hash stays if the class is theirs.
+    Five-word shingles, similarity of 0.8. Every row is a document of its own: a class is told by its
+    label, not by ids, and of rows with equal id the one with the smallest text hash stays. Of rows
+    equal in id and text just one stays, the least by its other columns. Documents without words stay,
+    all of them.
     """
     classes = ngram_join.ngram_components(docs, words=5, num=80, den=100)
-    chosen = (
-        classes.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("class"), F.when(F.col("n_shingles") == 0, F.col("row")).alias("lone"))
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-        .select(F.col("first.row").alias("_row"))
+    rows = classes.groupBy("label", "row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    chosen = settle(
+        rows.groupBy("label", F.when(F.col("label").isNull(), F.col("row")).alias("lone"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")).alias("first"))
+        .select(F.col("first.row").alias("_row"), (F.col("label").isNotNull() & (F.col("first.copies") > 1)).alias("_repeated")),
+        "pipeline_chosen",
     )
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(chosen, "_row", "left_semi").select(*docs.columns)
+    row = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_row", row)
+    whole = keyed.join(chosen.where("not _repeated"), "_row", "left_semi").select(*docs.columns)
+    # Rows equal in id and text: reduced to the least of them, however many there are.
+    repeated = keyed.join(chosen.where("_repeated"), "_row", "left_semi")
+    once = repeated.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*")
+    return whole.unionByName(once)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

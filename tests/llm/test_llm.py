@@ -136,6 +136,59 @@ def test_ngram_join_like_brute_force(docs, corpus, nothing, k, num):
     assert ngram_join.ngram_components(nothing, k, num, 100).count() == 0
 
 
+def brute_near_duplicates(rows, k=5, num=80, den=100):
+    """(id, text) of the rows that stay: one of each class of alike sets, and all rows without words."""
+    sets = []
+    for r in rows:
+        w = words((r[1] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and den * both >= num * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    classes = {}
+    for i, r in enumerate(rows):
+        classes.setdefault(group[i], []).append(r)
+    return list(classes.values())
+
+
+def check_near_duplicates(before, after):
+    """``after`` holds one row of each class of ``before``, with the class's smallest id."""
+    classes = brute_near_duplicates(before)
+    stays = Counter(map(tuple, after))
+    assert len(after) == len(classes)
+    for c in classes:
+        least = min((r[0] is None, r[0] or 0) for r in c)
+        of_least = {tuple(r) for r in c if (r[0] is None, r[0] or 0) == least}
+        found = [r for r in of_least if stays[r]]
+        if words(c[0][1] or ""):
+            assert len(found) == 1, c
+        stays[found[0]] -= 1
+    assert not +stays
+
+
+def test_near_duplicates_are_told_by_class_not_by_id(spark, docs, nothing):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    make = lambda n: " ".join(f"v{rnd.randrange(1 << 30)}" for _ in range(n))
+    base, alone = make(60), make(30)
+    rows = [(None, make(30), "a"), (None, make(40), "a"), (None, alone, None), (None, alone, None), (7, make(30), "b"), (7, make(35), "b")]
+    rows += [(3, base, "c"), (3, base, "c"), (3, base, "b"), (4, base + " more", "c"), (None, base, "c")]
+    rows += [(1, "", "d"), (1, "", "d"), (None, None, "d"), (None, None, "d"), (2, "word", "e"), (2, "word", "e")]
+    rows += [(9, make(20), "h")] * 300
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    check_near_duplicates(rows, kept)
+    assert sum(r["doc_id"] is None and r["text"] is not None for r in kept) == 3
+    assert [r["source"] for r in kept if r["doc_id"] == 3] == ["b"]
+    before = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    check_near_duplicates(before, corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text", "source").collect())
+    assert corpus_pipeline.near_duplicates(spark, nothing, "").count() == 0
+
+
 def test_segments_bear_every_difference():
     """Sets at the threshold share more signatures than the slack lets them leave out."""
     rnd = np.random.default_rng(3)
