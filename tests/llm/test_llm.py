@@ -379,6 +379,54 @@ def test_license_scan(spark, docs, corpus, nothing):
     assert license_scan.scan(docs).count() == len(corpus) and license_scan.scan(nothing).count() == 0
 
 
+def test_license_scan_finds_whole_texts_headers_and_embedded_notices(spark):
+    rnd = random.Random(6)
+    make = lambda n: " ".join(f"u{rnd.randrange(1 << 30)}" for _ in range(n))
+    known = license_scan.all_templates()
+    text = lambda name: known[name][-1]
+    apache = license_scan.HEADERS["Apache-2.0"][0].split(" ")
+    wrapped = "\n".join("# " + " ".join(apache[i : i + 9]) for i in range(0, len(apache), 9))
+    cases = {name: text(name) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "ISC", "CC0-1.0", "MPL-2.0")}
+    rows, want = [], {}
+    for name, t in cases.items():
+        for whole in (t, " ".join(t.split()), make(40) + "\n" + t + "\n" + make(700)):
+            want[len(rows)] = name
+            rows.append((len(rows), whole))
+    others = [
+        ("Apache-2.0", make(900) + "\n" + wrapped + "\n" + make(30)),
+        ("MIT", make(90) + " Released under the MIT License. " + make(90)),
+        ("AGPL-3.0", make(5) + "\n" + license_scan.HEADERS["AGPL-3.0"][0].replace(", ", ",\n") + "\n" + make(300)),
+        ("CC-BY-SA-4.0", make(70) + " this work is licensed under a\nCreative Commons Attribution-ShareAlike 4.0 International License " + make(70)),
+        (None, make(300)), (None, " ".join(sorted(text("MIT").split()))), (None, "released under the " + make(80) + " MIT license"),
+    ]
+    for name, t in others:
+        want[len(rows)] = name
+        rows.append((len(rows), t))
+    got = license_scan.scan(spark.createDataFrame([*rows, rows[0]], "doc_id int, text string")).collect()
+    assert len(got) == len(rows) + 1
+    assert {r["doc_id"]: r["license"] for r in got} == want
+    assert all(r["best_dice"] > 0.95 for r in got if r["license"])
+    at = {r["doc_id"]: r["best_line"] for r in got}
+    assert at[2] == 1 and at[len(cases) * 3] == 1 and at[len(cases) * 3 + 1] == 0
+
+
+def test_runs_of_words_like_brute_force(spark):
+    rnd = random.Random(9)
+    template = " ".join(rnd.choice("abcd") for _ in range(12))
+    rows = [(i, "\n".join(" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(1, 4)))) for i in range(150)]
+    grams = lambda w: Counter(zip(w, w[1:], strict=False))
+    t = grams(template.split(" "))
+    size = sum(t.values())
+    got = {r["doc_id"]: r["best_dice"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string"), 0.5, {"X": [template]}).collect()}
+    for i, text in rows:
+        w = text.split()
+        passages = [x.split() for x in text.split("\n")] + [w]
+        for span in license_scan.SPANS:
+            passages += [w[s : s + round(size * span) + 1] for s in range(len(w))]
+        dice = max(2 * sum((grams(p) & t).values()) / (sum(grams(p).values()) + size) for p in passages)
+        assert got[i] == (pytest.approx(dice) if dice >= 0.5 else None), (i, text)
+
+
 def test_packing_gives_every_id_once(docs, corpus, nothing):
     from tokenizers import Tokenizer
 
