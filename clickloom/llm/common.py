@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from clickloom.state import settle
 
 #: A key holding at least this share of all rows is hot; there are at most 1 / share such keys.
 HOT_SHARE = 1 / 512
@@ -63,3 +66,26 @@ def hot_join(
     if how == "inner":
         joined = joined.where(found.isNotNull())
     return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
+
+
+def numbered(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``_rank`` (from 0, along ``order`` within ``group``), ``_total`` (rows of the group) and ``_part``.
+
+    ``group`` must not be null. Rows are split into ranges of (group, order), so a group that holds most
+    rows spreads over many tasks; what the ranges before hold of a group is one row per range and group.
+    The ranges are written once: their borders are drawn anew whenever they are computed.
+    """
+    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    fixed = settle(
+        ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), name
+    )
+    runs = fixed.groupBy("_part", group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        "_part", group, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(whole).alias("_total"),
+    )
+    return fixed.join(starts, ["_part", group]).select(
+        *rows.columns, (F.col("_at") + F.col("_shift")).alias("_rank"), "_total", "_part"
+    )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_counts, warc
+from clickloom.llm import (
+    fingerprints, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, substring_dedup, token_counts, warc,
+)
 from clickloom.llm.common import table
 from clickloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -148,6 +150,52 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"))
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit (reversed polynomial 0xEDB88320)."""
+    steps = f"""flatten(list_transform(string_split({text}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"""
+    return f"""xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}),
+   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+
+def field_sql(*values: str) -> str:
+    return " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+
+
+D_LEAF = field_sql("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "text")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT *, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents),
+ l AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS key, sha256({D_LEAF}) AS leaf,
+   sha256({D_LEAF.replace("text", "cut")}) AS found FROM t),
+ d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM l),
+ a(key, lev, pos, n, h) AS (SELECT key, 0, pos, n, leaf FROM d
+   UNION ALL SELECT key, lev + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY key, lev, pos // 3),
+ am AS MATERIALIZED (SELECT * FROM a),
+ s AS MATERIALIZED (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM am WHERE n = 1),
+ b(lev, pos, n, h) AS (SELECT 0, pos, n, subroot FROM s
+   UNION ALL SELECT lev + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY lev, pos // 3),
+ bm AS MATERIALIZED (SELECT * FROM b),
+ sides AS MATERIALIZED (SELECT key, lev, pos, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+   coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+   FROM (SELECT key, lev, pos, n, h FROM am UNION ALL SELECT NULL, 1000 + lev, pos, n, h FROM bm) WHERE n > 1 WINDOW w AS (PARTITION BY key, lev, pos // 3 ORDER BY pos)),
+ p AS MATERIALIZED (SELECT rid, lft, rgt, row_number() OVER (PARTITION BY rid ORDER BY lev) AS step FROM (
+   SELECT d.rid, x.lev, lft, rgt FROM d JOIN sides x ON x.key = d.key AND x.pos = CAST(floor(d.pos / power(3, x.lev)) AS BIGINT)
+   UNION ALL SELECT d.rid, x.lev, lft, rgt FROM d JOIN s USING (key) JOIN sides x ON x.key IS NULL AND x.pos = CAST(floor(s.pos / power(3, x.lev - 1000)) AS BIGINT))),
+ f(rid, step, h) AS (SELECT rid, 0, found FROM d UNION ALL SELECT f.rid, f.step + 1, sha256(lft || h || rgt) FROM f JOIN p ON p.rid = f.rid AND p.step = f.step + 1),
+ e AS (SELECT rid, arg_max(h, step) AS folded_root FROM f GROUP BY rid),
+ q AS (SELECT rid, string_agg(lft || rgt, '' ORDER BY step) AS joined FROM p GROUP BY rid)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(coalesce(joined, '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+ FROM d JOIN s USING (key) JOIN e USING (rid) LEFT JOIN q USING (rid), (SELECT h FROM bm WHERE n = 1) r""")
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves and proofs of all documents, held against texts of which some lost their line feeds."""
+    proven = merkle.manifest(table(spark, sf, "documents"), merkle.without_line_feeds())
+    out = proven.withColumn("folded_root", merkle.folded(F.coalesce("found", "leaf")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline over all documents."""
