@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    fingerprints, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, substring_dedup, token_counts, warc,
+    fingerprints, license_scan, line_dedup, merkle, mixing, ngram_join, packing, pii, quality, substring_dedup, token_counts, warc,
 )
 from clickloom.llm.common import table
 from clickloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -196,6 +196,16 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in all documents: counts, a digest of the base spans, all spans."""
+    found = pii.scan(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted("spans", k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.listed(pii.base_spans()), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline over all documents."""
