@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    fingerprints, license_scan, line_dedup, merkle, mixing, ngram_join, packing, pii, quality, substring_dedup, token_counts, warc,
+    fingerprints, license_scan, line_dedup, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality, substring_dedup, token_counts, warc,
 )
 from clickloom.llm.common import table
 from clickloom.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -206,6 +206,29 @@ def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+D_TURN = "{'r': coalesce(role, ''), 't': coalesce(text, '')}"
+
+
+@query(f"""WITH o AS MATERIALIZED (SELECT conv_id AS c, list({D_TURN} ORDER BY turn NULLS FIRST) AS own FROM conversations
+   WHERE conv_id IS NOT NULL GROUP BY conv_id),
+ h AS (SELECT c, own, {crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM o),
+ r AS MATERIALIZED (SELECT h.c, list_concat(coalesce(b.own[1:h], []), h.own[h + 1:]) AS turns FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+ p AS MATERIALIZED (SELECT c, d, md5(CAST(to_json(turns[1:d]) AS VARCHAR)) AS k, md5(CAST(to_json(turns[1:d - 1]) AS VARCHAR)) AS pk, d = len(turns) AS is_last,
+   CASE WHEN d > 0 THEN len({D_WORDS.format("turns[d].t")}) ELSE 0 END AS w
+   FROM (SELECT c, turns, unnest(generate_series(0, len(turns))) AS d FROM r)),
+ n AS MATERIALIZED (SELECT d, k, min(c) AS c, min(pk) AS pk, count(*) AS n, (count(*) - 1) * max(w) AS saved, bool_and(is_last) AS leaf,
+   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_last), '')) AS ends FROM p GROUP BY d, k),
+ u AS (SELECT DISTINCT a.d, a.k, b.d AS bd, b.k AS bk FROM p a JOIN p b ON a.c = b.c AND b.d >= a.d),
+ t AS (SELECT u.d, u.k, count(*) FILTER (n.leaf) AS n_leaves, sum(n.saved) AS saved FROM u JOIN n ON n.d = u.bd AND n.k = u.bk GROUP BY ALL),
+ kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL)
+SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0) AS n_children, n_leaves,
+  CAST(t.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+ FROM n JOIN t USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN n up ON n.d > 0 AND up.d = n.d - 1 AND up.k = n.pk""")
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The trie of all conversations, rebuilt to start as the first of their block does."""
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf, "conversations"))))
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline over all documents."""
