@@ -6,7 +6,8 @@ small parser of that kind expands left and right to the borders of the address o
 it. Parsers never look behind the end of their last match, and each kind's expansions go forward only,
 so a text is read a bounded number of times however long it is.
 
-Base kinds, leftmost and not overlapping within a kind; matches that fail validation are dropped:
+All kinds are leftmost and do not overlap within a kind; matches that fail validation are dropped, and
+nothing is tried again inside them. Base kinds:
 
 * email: local part, at-sign, two labels or more
 * ip: four numbers joined by dots, none above 255
@@ -16,7 +17,8 @@ Base kinds, leftmost and not overlapping within a kind; matches that fail valida
 Kinds found by cue, whose spans are added to those:
 
 * login: a scheme with a user part before the host (``https://user:word@host``)
-* iban: after the cue ``iban``, two letters, two digits, 11 to 30 more signs, remainder 1 modulo 97
+* iban: after the cue ``iban``, two capitals, two digits, 11 to 30 more capitals or digits, in one piece or in
+  groups of four, remainder 1 modulo 97
 * account: the value behind an identifier cue and a colon, equals or number sign, six signs or more with
   at least two digits among them (pass words, tokens, account, customer, passport and insurance numbers)
 
@@ -57,9 +59,11 @@ NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 USER_HOST = re.compile(r"[A-Za-z0-9._%+~:-]+@[A-Za-z0-9.-]+")
-IBAN = re.compile(r"[\"']?[ \t]{0,2}[:=#]?[ \t]{0,2}[\"']?([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
+IBAN = re.compile(
+    r"[\"']?(?:[ \t]{0,2}[:=#][ \t]{0,2}|[ \t]{1,2})[\"']?([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))\b", re.A
+)
 VALUE = re.compile(
-    r"(?:[ _-]?(?:id|no|nr|number|key|code))?\.?[\"']?[ \t]{0,2}[:=#][ \t]{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9._/+=-]{5,})", re.I
+    r"(?:[ _-]?(?:id|no|nr|number|key|code))?\.?[\"']?[ \t]{0,2}[:=#][ \t]{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9._/+=-]{5,})", re.I | re.A
 )
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -157,31 +161,22 @@ class Finder:
             self.found["login"].append((first, m.end()))
 
     def iban(self, text: str, at: int, after: int) -> None:
-        if at < self.done["iban"] or not self.alone(text, at, after):
+        if at < self.done["iban"] or (at and text[at - 1] in WORDLIKE):
             return
         if m := IBAN.match(text, after):
-            # A word behind the number is taken along by the pattern: the longest part that checks is it.
-            pieces = m[1].split(" ")
-            for k in range(len(pieces), 0, -1):
-                part = " ".join(pieces[:k])
-                if 15 <= len(part.replace(" ", "")) <= 34 and iban_ok(part):
-                    self.done["iban"] = m.start(1) + len(part)
-                    self.found["iban"].append((m.start(1), m.start(1) + len(part)))
-                    return
+            self.done["iban"] = m.end()
+            if iban_ok(m[1]):
+                self.found["iban"].append(m.span(1))
 
     def account(self, text: str, at: int, after: int) -> None:
         if at < self.done["account"] or (at and text[at - 1] in WORDLIKE):
             return
         if m := VALUE.match(text, after):
+            self.done["account"] = m.end()
             value = m[1].rstrip("._/+=-")
             if len(value) >= 6 and sum(c in DIGITS for c in value) >= 2:
-                self.done["account"] = m.start(1) + len(value)
                 self.found["account"].append((m.start(1), m.start(1) + len(value)))
 
-    @staticmethod
-    def alone(text: str, at: int, after: int) -> bool:
-        return not (at and text[at - 1] in WORDLIKE) and not (after < len(text) and text[after] in WORDLIKE)
-
 
 @lru_cache(maxsize=1)
 def finder() -> Finder:

@@ -196,7 +196,51 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+#: A sign for the borders of matches; in texts it is put out of the way first.
+D_MARK = "chr(57344)"
+
+
+def spans_sql(kind: int, pattern: str, put: str = "\\0", prefix: str = "", valid: str = "true", text: str = "t", size: str = "len(m)") -> str:
+    """Matches of a pattern with their places: the text is split at marks set around each match."""
+    marked = f"regexp_replace({text}, '{pattern}', '{prefix}' || {D_MARK} || '{put}' || {D_MARK}, 'g')"
+    return f"""SELECT rid, {kind} AS kind, a AS start, a + {size} AS stop FROM (
+   SELECT rid, parts[i] AS m, list_sum(list_transform(parts[1:i - 1], lambda x: len(x))) AS a
+   FROM (SELECT rid, parts, unnest(generate_series(2, len(parts), 2)) AS i FROM (SELECT rid, string_split({marked}, {D_MARK}) AS parts FROM d)))
+   WHERE {valid}"""
+
+
+D_DIGITS = "string_split(regexp_replace(m, '[^0-9]', '', 'g'), '')"
+D_LUHN = f"""list_sum(list_transform(list_reverse({D_DIGITS}), lambda x, i:
+   CASE WHEN i % 2 = 1 THEN CAST(x AS INT) WHEN CAST(x AS INT) > 4 THEN 2 * CAST(x AS INT) - 9 ELSE 2 * CAST(x AS INT) END)) % 10 = 0"""
+D_PLAIN = "replace(m, ' ', '')"
+D_IBAN = f"""list_reduce(list_prepend(0, list_transform(string_split(substr({D_PLAIN}, 5) || substr({D_PLAIN}, 1, 4), ''),
+   lambda x: CASE WHEN ascii(x) >= 65 THEN ascii(x) - 55 ELSE ascii(x) - 48 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"""
+D_SPANS = " UNION ALL ".join([
+    spans_sql(1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    spans_sql(2, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", valid="len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR CAST(right(x, 3) AS INT) > 255)) = 0"),
+    spans_sql(3, r"[0-9]([\x20-]?[0-9])+", valid=f"len({D_DIGITS}) BETWEEN 16 AND 19 AND {D_LUHN}"),
+    spans_sql(4, r"\+[0-9][\x20().0-9-]+[0-9]", valid=f"len({D_DIGITS}) BETWEEN 8 AND 15"),
+    spans_sql(5, r"[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9._%+~:-]+@[A-Za-z0-9.-]+"),
+    spans_sql(
+        6, r"""(^|[^A-Za-z0-9_])([Ii][Bb][Aa][Nn]["'']?(?:[ \t]{0,2}[:=#][ \t]{0,2}|[ \t]{1,2})["'']?)([A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?))\b""",
+        "\\3", "\\1\\2", D_IBAN,
+    ),
+    spans_sql(
+        7, rf"""(^|[^a-z0-9_])((?:{"|".join(pii.CUES)})(?:[ _-]?(?:id|no|nr|number|key|code))?\.?["'']?[ \t]{{0,2}}[:=#][ \t]{{0,2}}["'']?)([a-z0-9][a-z0-9._/+=-]{{5,}})""",
+        "\\3", "\\1\\2", "len(rtrim(m, '._/+=-')) >= 6 AND len(regexp_replace(rtrim(m, '._/+=-'), '[^0-9]', '', 'g')) >= 2",
+        "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "len(rtrim(m, '._/+=-'))",
+    ),
+])
+D_KINDS = "[" + ", ".join(f"'{k}'" for k in pii.KINDS) + "]"
+D_LISTED = f"string_agg({D_KINDS}[kind] || ':' || start || ':' || stop, ',' ORDER BY kind, start)"
+
+
+@query(f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, replace(coalesce(text, ''), {D_MARK}, chr(57345)) AS t FROM documents),
+ s AS ({D_SPANS}),
+ g AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(pii.BASE, 1))},
+   {D_LISTED} FILTER (kind <= {len(pii.BASE)}) AS base, {D_LISTED} AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+ FROM d LEFT JOIN g USING (rid)""")
 def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in all documents: counts, a digest of the base spans, all spans."""
     found = pii.scan(table(spark, sf, "documents"))
