@@ -226,11 +226,75 @@ def test_mix_meets_targets(docs, corpus, nothing):
     assert abs(sum(target.values()) - sum(size.values())) < 1e-6 * sum(size.values()) + 1e-6
     again = mixing.mix(docs.repartition(5)).collect()
     assert Counter(map(tuple, mixed)) == Counter(map(tuple, again))
-    out = mixing.repeated(docs, mixing.mix(docs)).collect()
-    assert sum(len(words(r["text"])) for r in out) == sum(taken.values())
     assert mixing.mix(nothing).count() == 0
 
 
+def brute_mix(rows, weights=(5, 2, 1), epochs=3.0):
+    """(taken per row, the mix) of rows (h, doc_id, text, source, extra): water-filling by rounds, then seeded order."""
+    size = [len(words(r[2])) for r in rows]
+    total = Counter()
+    for r, n in zip(rows, size, strict=True):
+        total[r[3]] += n
+    sources = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, free, left = {}, set(sources), float(sum(size))
+    while True:
+        level = left / (sum(weight[s] for s in free) or 1)
+        full = {s for s in free if epochs * total[s] <= weight[s] * level}
+        if not full:
+            break
+        target |= {s: epochs * total[s] for s in full}
+        free -= full
+        left -= sum(epochs * total[s] for s in full)
+    target |= {s: weight[s] * level for s in free}
+    taken, mix = [0] * len(rows), []
+    for s in sources:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        extra = round(target[s]) - whole * total[s]
+        mine = [i for i, r in enumerate(rows) if r[3] == s]
+        for i in sorted(mine, key=lambda i: (rows[i][0] % 2**64, rows[i][0], rows[i][1] is not None, rows[i][1] or 0)):
+            more = min(size[i], extra)
+            extra -= more
+            taken[i] = whole * size[i] + more
+            if size[i]:
+                mix += [rows[i][1:]] * (whole + (more == size[i]))
+            if 0 < more < size[i]:
+                mix.append((rows[i][1], " ".join(words(rows[i][2])[:more]), *rows[i][3:]))
+    return taken, mix
+
+
+MIXED = "doc_id bigint, text string, source string, lang string, size int, _rank int, h int, key int, doc int, cut int, taken int, n_chars bigint"
+
+
+def in_mix(r):
+    return r["doc_id"], " ".join(words(r["text"])), r["source"], r["lang"]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_mix_is_that_of_brute_force(spark, corpus, many_ranges, hot):
+    rows = [(i, t, s, "en") for i, t, s in corpus]
+    # The same id and text in two sources, and many equal rows, of which one may be the one that is cut.
+    rows += [(900, "a b c d e", s, "en") for s in ("s0", "s1", "s2", None)] * 2 + [(-(2**63), "far", "s1", "en"), (2**63 - 1, "far", "s1", "en")]
+    if hot:
+        rows = [r for r in rows if len(words(r[1])) < 30] + [(5, "one two three", "s2", f"l{i % 3}") for i in range(400)] + [(6, "x y", "s3", "en")] * 50
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7, len(r[1] or "")) for r in rows], MIXED)
+    h = {(r["doc_id"], r["text"]): r["placed"] for r in docs.select("doc_id", "text", mixing.placed_rows(docs)[5].alias("placed")).collect()}
+    taken, mix = brute_mix([(h[r[:2]], *r) for r in rows])
+    want = Counter((i, " ".join(words(t)), s) for i, t, s, _ in mix)
+    for parts in (1, 7):
+        got = mixing.mixed_documents(docs.repartition(parts)).collect()
+        assert Counter(in_mix(r)[:3] for r in got) == want
+        assert all(r["n_chars"] == len(r["text"]) and (r["_rank"], r["cut"], r["taken"], r["size"]) == (2, 5 + 1, 7, 1) for r in got)
+        by_row = Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix(docs.repartition(parts)).collect())
+        assert by_row == Counter((r[0], r[2], len(words(r[1])), n) for r, n in zip(rows, taken, strict=True))
+        if hot:
+            # Of rows equal but for the language, each is there as often as the others, but for one more or the cut one.
+            langs = Counter(r["lang"] for r in got if r["doc_id"] == 5 and r["source"] == "s2")
+            assert {"l0", "l1", "l2"} <= set(langs)
+    empty = mixing.mixed_documents(docs.limit(0))
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
 def test_water_filling_by_hand(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 990), ("c", 0)], "source string, source_size bigint")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
