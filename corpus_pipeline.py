@@ -58,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last repetition of one per source is cut."""
-    return mixing.repeated(docs, settle(mixing.mix(docs, weights=(5, 2, 1), max_epochs=3), "pipeline_mix"))
+    return mixing.mixed_documents(docs, weights=(5, 2, 1), max_epochs=3)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
