@@ -197,31 +197,6 @@ def mixed_documents(
     return whole.unionByName(cut.select(*[put.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns]))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed documents themselves: ``docs`` columns, one row per repetition, the last cut to its words.
-
-    ``docs`` needs ``doc_id`` and ``text``; ``n_chars`` follows the text if there.
-    """
-    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # Rows equal in id and text were mixed one by one: give the n-th row the n-th decision.
-    by_taken = Window.partitionBy("row").orderBy(F.col("taken").desc())
-    plan = mixed.where("taken is not null").select(
-        F.col("row").alias("_mix_row"), F.row_number().over(by_taken).alias("_mix_nth"), F.col("taken").alias("_mix_taken"), F.col("size").alias("_mix_size")
-    )
-    nth = F.row_number().over(Window.partitionBy("_mix_row").orderBy(F.lit(0)))
-    rows = docs.withColumn("_mix_row", key).withColumn("_mix_nth", nth)
-    parts = F.expr(
-        "transform(sequence(1, cast(ceil(_mix_taken / greatest(_mix_size, 1)) as int)), i -> least(_mix_size, _mix_taken - (i - 1) * _mix_size))"
-    )
-    out = rows.join(plan, ["_mix_row", "_mix_nth"]).where("_mix_taken > 0").withColumn("_mix_words", F.explode(parts))
-    whole = out.where("_mix_words = _mix_size")
-    # One document per source is cut; only those pass through Python.
-    cut = out.where("_mix_words < _mix_size").withColumn("text", first_words("text", "_mix_words"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast("bigint"))
-    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))
-
-
 @F.pandas_udf(StringType())
 def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
     """Each text up to the end of its n-th word, white space kept."""
