@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.casts import RARE, na_level
-from clickloom.operators.joins import lookup_join, rows_per_column
+from clickloom.operators.joins import HOT_SHARE, lookup_columns
 from clickloom.operators.ranking import dense_codes, running_totals
 from clickloom.state import settle
 
@@ -28,8 +28,20 @@ def level_counts(df: DataFrame, cats: Sequence[str]) -> DataFrame:
 
 
 def rare_levels(df: DataFrame, cats: Sequence[str], below: int = 50) -> DataFrame:
-    """Training values seen fewer than ``below`` times."""
-    return settle(level_counts(df, cats).where(F.col("n") < below), "rare_levels")
+    """(column, value, n, rare): training values seen fewer than ``below`` times.
+
+    Values that hold 1/1024 of the rows or more are listed too, not rare: a lookup must know hot keys.
+    """
+    counts = settle(level_counts(df, cats), "rare_counts")
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    rare = F.col("n") < below
+    listed = counts.join(F.broadcast(totals), "column").where(rare | (F.col("n") * HOT_SHARE >= F.col("total")))
+    return settle(listed.select("column", "value", "n", rare.alias("rare")), "rare_levels")
+
+
+def _looked_up(df: DataFrame, table: DataFrame, cats: Sequence[str], spread: Sequence[str] | None, limits: dict) -> DataFrame:
+    keyed = table.where(F.col("column").isin(*cats)).withColumnRenamed("value", "key")
+    return lookup_columns(df, keyed, {c: F.col(c).cast("string") for c in cats}, spread, **limits)
 
 
 def bucket_rare(
@@ -37,16 +49,12 @@ def bucket_rare(
 ) -> DataFrame:
     """Replace rare training values by the rare level and nulls by the missing level.
 
-    Values never seen in training are left as they are.
+    Values never seen in training are left as they are. ``spread`` tells rows apart.
     """
-    sizes = rows_per_column(rare)
-    for c in cats:
-        part = rare.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("n").alias("_n"))
-        keyed = df.withColumn("_v", F.col(c).cast("string"))
-        level = F.when(F.col("_n").isNotNull(), RARE).otherwise(na_level(c))
-        df = lookup_join(keyed, part, ["_v"], "_n", spread, rows=sizes.get(c, 0), **limits)
-        df = df.withColumn(c, level).drop("_v", "_n")
-    return df
+    found = _looked_up(df, rare, cats, spread, limits)
+    return found.withColumns(
+        {c: F.when(F.col(f"_of_{c}.rare"), RARE).otherwise(na_level(c)) for c in cats}
+    ).drop(*[f"_of_{c}" for c in cats])
 
 
 def fit_codes(df: DataFrame, cats: Sequence[str]) -> DataFrame:
@@ -60,16 +68,11 @@ def apply_codes(
     df: DataFrame, codes: DataFrame, cats: Sequence[str], unknown: int = -1, suffix: str = "",
     spread: Sequence[str] | None = None, **limits,
 ) -> DataFrame:
-    """Replace each value by its fitted code; unseen and null values get ``unknown``."""
-    sizes = rows_per_column(codes)
-    for c in cats:
-        part = codes.where(F.col("column") == c).select(
-            F.col("value").alias("_v"), F.col("code").alias("_code"), F.col("n").alias("_n")
-        )
-        keyed = df.withColumn("_v", F.col(c).cast("string"))
-        df = lookup_join(keyed, part, ["_v"], "_n", spread, rows=sizes.get(c, 0), **limits)
-        df = df.withColumn(c + suffix, F.coalesce("_code", F.lit(unknown))).drop("_v", "_code", "_n")
-    return df
+    """Replace each value by its fitted code; unseen and null values get ``unknown``. ``spread`` tells rows apart."""
+    found = _looked_up(df, codes, cats, spread, limits)
+    return found.withColumns(
+        {c + suffix: F.coalesce(F.col(f"_of_{c}.code"), F.lit(unknown)) for c in cats}
+    ).drop(*[f"_of_{c}" for c in cats])
 
 
 def joint_codes(train: DataFrame, test: DataFrame, cats: Sequence[str]) -> DataFrame:
@@ -91,14 +94,18 @@ def categorify(df: DataFrame, cats: Sequence[str], most: int | None = None, at_l
     return settle(codes if most is None else codes.where(F.col("code") <= most), "categorify")
 
 
-def dummy_levels(df: DataFrame, cats: Sequence[str], most: int | None = None) -> dict[str, list[str]]:
+#: Most columns that one-hot encoding makes; wider columns take codes (or the sparse vector of field_vectors).
+MOST_DUMMIES = 10_000
+
+
+def dummy_levels(df: DataFrame, cats: Sequence[str], most: int = MOST_DUMMIES) -> dict[str, list[str]]:
     """Sorted training values per column; each becomes an output column, so the caller picks narrow columns.
 
-    ``most`` refuses wider ones before their values are listed.
+    More than ``most`` values in all are refused before any is listed.
     """
     levels = settle(level_counts(df, cats), "dummy_levels")
-    if most is not None and levels.count() > most:
-        raise ValueError("too many values for one column each; use integer codes")
+    if levels.count() > most:
+        raise ValueError("too many values for one column each; use codes or field vectors")
     rows = levels.orderBy("column", "value").collect()
     return {c: [r["value"] for r in rows if r["column"] == c] for c in cats}
 

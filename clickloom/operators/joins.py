@@ -2,18 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.state import settle
 
+#: Tables of up to so many rows, and so many bytes for each of these rows, are broadcast.
 BROADCAST_ROWS = 100_000
+ROW_BYTES = 160
 HOT_SHARE = 1024
 SALTS = 64
 
 
+def _size(table: DataFrame) -> Column:
+    """Rows of ``table``, counted as more if they are wide: one number that bounds rows and bytes."""
+    width = F.lit(0)
+    for f in table.schema.fields:
+        width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8))
+    return F.greatest(F.count(F.lit(1)), F.ceil(F.coalesce(F.sum(width), F.lit(0)) / ROW_BYTES)).cast("bigint")
+
+
+def lookup_size(table: DataFrame) -> int:
+    return table.agg(_size(table)).first()[0]
+
+
+def rows_per_column(table: DataFrame) -> dict[str, int]:
+    """Size of each ``column`` of a fitted table in rows, one number per fitted column; one small job."""
+    return {r["column"]: r["size"] for r in table.groupBy("column").agg(_size(table).alias("size")).collect()}
+
+
+def hot_levels(df: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
+    """(column, key): keys that hold at least 1/1024 of the rows, measured once for all key columns.
+
+    At most 1024 per column. Rows to be looked up may have hot keys that the fitted table lacks or knows
+    as rare; pass this table as ``hot`` then.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), k.cast("string").alias("key")) for c, k in keys.items()]))
+    counts = settle(df.select(pairs.alias("p")).groupBy("p.column", "p.key").agg(F.count(F.lit(1)).alias("n")), "key_counts")
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    hot = counts.join(F.broadcast(totals), "column").where((F.col("n") * HOT_SHARE >= F.col("total")) & F.col("key").isNotNull())
+    return settle(hot.select("column", "key"), "hot_levels")
+
+
+def _hot_keys(table: DataFrame, on: list[str], weight: str | None, hot: DataFrame | None) -> DataFrame | None:
+    """Keys to be broadcast on their own, as a plan: by the table's own counts, and those measured."""
+    found = None
+    if weight is not None:
+        total = table.agg(F.sum(weight).alias("_total"))
+        found = cross_one(table.select(*on, weight), total).where(F.col(weight) * HOT_SHARE >= F.col("_total")).select(*on)
+    if hot is not None:
+        # A measured key may stand for several rows of the table, one per fold say.
+        held = table.join(F.broadcast(hot), hot.columns, "left_semi").select(*on) if set(hot.columns) != set(on) else hot.select(*on)
+        found = held if found is None else found.unionByName(held)
+    return None if found is None else found.distinct()
+
+
+def _shuffled(df: DataFrame, table: DataFrame, on: list[str], weight: str | None, hot: DataFrame | None, spread: Sequence[str]) -> DataFrame:
+    """Left join by shuffle; only a plan is made here, no job is run."""
+    values = [c for c in table.columns if c not in on]
+    keys = _hot_keys(table, on, weight, hot)
+    null_key = F.lit(False)
+    for c in on:
+        null_key = null_key | F.col(c).isNull()
+    # Always 0, but not a literal: a constant would be dropped from the keys rows are shuffled by.
+    no_salt = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int").alias("_salt")
+    cold, rows, served = table, df, F.lit(False)
+    if keys is not None:
+        from_hot = keys.join(table, on, "left").select(*on, F.lit(True).alias("_hot"), F.struct(*values).alias("_from_hot"))
+        rows, served = df.join(F.broadcast(from_hot), on, "left"), F.coalesce("_hot", F.lit(False))
+        cold = table.join(F.broadcast(keys), on, "left_anti")
+    cold = cold.select(*on, no_salt, F.struct(*values).alias("_from_cold"))
+    salt = F.when(served | null_key, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(0)
+    found = F.coalesce("_from_hot", "_from_cold") if keys is not None else F.col("_from_cold")
+    return (
+        rows.withColumn("_salt", salt.cast("int"))
+        .join(cold, [*on, "_salt"], "left")
+        .select(*df.columns, *[found[v].alias(v) for v in values])
+    )
+
+
 def lookup_join(
     df: DataFrame,
     table: DataFrame,
@@ -22,50 +91,67 @@ def lookup_join(
     spread: Sequence[str] | None = None,
     limit: int = BROADCAST_ROWS,
     rows: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``table`` (one row per key, written to storage) onto every row of ``df``.
 
-    The table's size is checked first. Up to ``limit`` rows it is broadcast and ``df`` is not moved.
-    Beyond that ``df`` is shuffled by key, except that
+    The table's size is checked first. Up to ``limit`` rows of ordinary width it is broadcast and ``df`` is
+    not moved. Beyond that ``df`` is shuffled by key, except that
 
-    * keys holding at least 1/1024 of the rows of ``df`` (at most 1024 such keys, also ones the table
-      lacks) are broadcast on their own, and
-    * rows already served that way, and rows with a null key, are spread over many tasks by a hash
-      of ``spread`` instead of meeting in one.
+    * keys holding at least 1/1024 of the table's ``weight`` (rows counted when it was fitted), and those in
+      ``hot``, are broadcast on their own, at most 1024 of either, and
+    * rows served that way, and rows with a null key, are spread over many tasks by a hash of ``spread``.
 
-    A null key matches nothing, as in any equi-join. Pass ``rows`` when the table's size is known.
-    ``weight`` names a count column of the table; it is only carried along.
+    A key that is hot in ``df`` only is split by adaptive execution. No job runs over ``df`` while the join
+    is planned, so lookups can be chained. A null key matches nothing, as in any equi-join. Pass ``rows``
+    when the table's size is known (see ``lookup_size``).
     """
     on = list(on)
-    if (table.count() if rows is None else rows) <= limit:
+    if (lookup_size(table) if rows is None else rows) <= limit:
         return df.join(F.broadcast(table), on, "left")
+    return _shuffled(df, table, on, weight, hot, spread or df.columns)
 
-    values = [c for c in table.columns if c not in on]
-    # Hot keys are those of the rows at hand, whether the table holds them or not.
-    sizes = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    edge = max(2, (df.count() + HOT_SHARE - 1) // HOT_SHARE)
-    keys = settle(sizes.where(F.col("_rows") >= edge).select(*on), "hot_keys")
-    hot = keys.join(table, on, "left").select(*on, F.lit(True).alias("_hot"), F.struct(*values).alias("_from_hot"))
-    # Always 0, but not a literal: a constant would be dropped from the keys rows are shuffled by.
-    no_salt = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")
-    cold = table.join(F.broadcast(keys), on, "left_anti").select(*on, no_salt.alias("_salt"), F.struct(*values).alias("_from_cold"))
-    null_key = F.lit(False)
-    for c in on:
-        null_key = null_key | F.col(c).isNull()
-    spread_by = F.xxhash64(*(spread or df.columns))
-    salt = F.when(F.coalesce("_hot", null_key), F.pmod(spread_by, F.lit(SALTS)) + 1).otherwise(0)
-    found = F.coalesce("_from_hot", "_from_cold")
-    return (
-        df.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", salt.cast("int"))
-        .join(cold, [*on, "_salt"], "left")
-        .select(*df.columns, *[found[v].alias(v) for v in values])
-    )
 
+def lookup_columns(
+    df: DataFrame,
+    table: DataFrame,
+    keys: Mapping[str, Column],
+    row_id: Sequence[str] | None,
+    also: Mapping[str, Column] | None = None,
+    weight: str = "n",
+    sizes: Mapping[str, int] | None = None,
+    limit: int = BROADCAST_ROWS,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Look up several key columns in one fitted table; adds ``_of_<column>`` structs of its values.
 
-def rows_per_column(table: DataFrame) -> dict[str, int]:
-    """Rows of each ``column`` of a fitted table, one number per fitted column."""
-    return {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
+    ``table`` has one row per (column, key, *also) with text keys. Columns whose part is small are
+    broadcast. All others go together: every row becomes one short row (row id, column, key) per column,
+    these are joined to the table in one shuffle, and come back in one more as one row per row id. So the
+    wide rows move once, however many large columns there are. ``row_id`` must name columns that tell rows
+    apart; without it each large column is looked up by itself.
+    """
+    also = dict(also or {})
+    on = ["column", "key", *also]
+    values = [c for c in table.columns if c not in on and c != weight]
+    sizes = rows_per_column(table) if sizes is None else sizes
+    large = [c for c in keys if sizes.get(c, 0) > limit]
+    out = df
+    for c in (c for c in keys if row_id is None or c not in large):
+        part = table.where(F.col("column") == c).select(
+            F.col("key").alias("_key"), *[F.col(a).alias(f"_{a}") for a in also], weight, F.struct(*values).alias(f"_of_{c}")
+        )
+        keyed = out.withColumns({"_key": keys[c].cast("string")} | {f"_{a}": x for a, x in also.items()})
+        names = ["_key", *[f"_{a}" for a in also]]
+        own = None if hot is None else hot.where(F.col("column") == c).select(F.col("key").alias("_key"))
+        out = lookup_join(keyed, part, names, weight, row_id, limit, sizes.get(c, 0), own).drop(*names, weight)
+    if row_id is None or not large:
+        return out
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), keys[c].cast("string").alias("key")) for c in large]))
+    long = df.select(*row_id, *[x.alias(a) for a, x in also.items()], pairs.alias("_p")).select(*row_id, *also, "_p.column", "_p.key")
+    found = _shuffled(long.where(F.col("key").isNotNull()), table.where(F.col("column").isin(large)), on, weight, hot, [*row_id, "column"])
+    mine = [F.first(F.when(F.col("column") == c, F.struct(*values)), ignorenulls=True).alias(f"_of_{c}") for c in large]
+    return out.join(found.where(F.col(weight).isNotNull()).groupBy(*row_id).agg(*mine), list(row_id), "left")
 
 
 def match_join(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import hash60
-from clickloom.operators.joins import BROADCAST_ROWS, lookup_join
+from clickloom.operators.joins import BROADCAST_ROWS, lookup_join, lookup_size
 from clickloom.operators.ranking import (
     even_folds, exact_quantiles, hash_edges, hash_spot, keep_first_by_hash,
 )
@@ -119,7 +119,7 @@ def per_key_cap(df: DataFrame, id_col: str, keys: Sequence[str], most: int, seed
     sizes = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = settle(sizes.where(F.col("_n") > most), "large_groups")
     quotas = large.select(*keys, F.lit(0).alias("place"), F.lit(most).cast("bigint").alias("need"))
-    few = large.count() <= BROADCAST_ROWS
+    few = lookup_size(large) <= BROADCAST_ROWS
     edges = hash_edges(df, id_col, quotas, keys, seed, few).select(*keys, "_edge")
     cuts = settle(edges.join(large, keys), "cuts")
     kept = F.col("_n").isNull() | (hash_spot(id_col, seed) <= F.col("_edge"))

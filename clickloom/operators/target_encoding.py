@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.casts import na_level
-from clickloom.operators.joins import cross_one, lookup_join, rows_per_column
+from clickloom.operators.joins import cross_one, lookup_columns, rows_per_column
 from clickloom.state import settle
 
 SMOOTH = 50.0
@@ -34,14 +35,17 @@ class TargetEncoding:
     def prior(self) -> DataFrame:
         return self.table.where(F.col("key").isNull()).select(F.col("te").alias("prior"))
 
-    def part(self, cat: str, full: bool) -> DataFrame:
+    def rows(self, full: bool) -> DataFrame:
         kind = F.col("fold") == FULL if full else F.col("fold") != FULL
-        return self.table.where((F.col("column") == cat) & F.col("key").isNotNull() & kind)
+        return self.table.where(F.col("key").isNotNull() & kind)
 
-    def sizes(self, full: bool) -> dict[str, int]:
-        """Rows of each category's part, read in one small job."""
-        kind = F.col("fold") == FULL if full else F.col("fold") != FULL
-        return rows_per_column(self.table.where(F.col("key").isNotNull() & kind))
+    def part(self, cat: str, full: bool) -> DataFrame:
+        return self.rows(full).where(F.col("column") == cat)
+
+    @cached_property
+    def sizes(self) -> dict[bool, dict[str, int]]:
+        """Size of each category's part, full and by fold; read once."""
+        return {full: rows_per_column(self.rows(full)) for full in (False, True)}
 
 
 def fold_counts(df: DataFrame, cats: Sequence[str], label: str, fold: Column) -> DataFrame:
@@ -112,29 +116,19 @@ def fit(
 def apply_train(
     df: DataFrame, enc: TargetEncoding, fold: Column, spread: Sequence[str] | None = None, **limits
 ) -> DataFrame:
-    """Add ``<cat>_te`` to training rows, without each row's own fold."""
-    df, sizes = df.withColumn("_fold", fold), enc.sizes(full=False)
-    for c in enc.cats:
-        part = enc.part(c, full=False).select(
-            F.col("key").alias("_key"), F.col("fold").alias("_fold"),
-            F.col("te").alias(f"{c}_te"), F.col("rows").alias("_w"),
-        )
-        keyed = df.withColumn("_key", na_level(c))
-        df = lookup_join(keyed, part, ["_key", "_fold"], "_w", spread, rows=sizes.get(c, 0), **limits)
-        df = df.drop("_key", "_w")
-    return df.drop("_fold")
+    """Add ``<cat>_te`` to training rows, without each row's own fold. ``spread`` tells rows apart."""
+    found = lookup_columns(
+        df, enc.rows(full=False), {c: na_level(c) for c in enc.cats}, spread, {"fold": fold}, "rows", enc.sizes[False], **limits
+    )
+    return found.withColumns({f"{c}_te": F.col(f"_of_{c}.te") for c in enc.cats}).drop(*[f"_of_{c}" for c in enc.cats])
 
 
 def apply_full(
     df: DataFrame, enc: TargetEncoding, spread: Sequence[str] | None = None, **limits
 ) -> DataFrame:
     """Add ``<cat>_te`` to new rows; keys never seen in training get the prior."""
-    df, sizes = cross_one(df, enc.prior), enc.sizes(full=True)
-    for c in enc.cats:
-        part = enc.part(c, full=True).select(
-            F.col("key").alias("_key"), F.col("te").alias("_te"), F.col("rows").alias("_w")
-        )
-        keyed = df.withColumn("_key", na_level(c))
-        df = lookup_join(keyed, part, ["_key"], "_w", spread, rows=sizes.get(c, 0), **limits)
-        df = df.withColumn(f"{c}_te", F.coalesce("_te", "prior")).drop("_key", "_te", "_w")
-    return df.drop("prior")
+    table = enc.rows(full=True).drop("fold")
+    found = lookup_columns(df, table, {c: na_level(c) for c in enc.cats}, spread, None, "rows", enc.sizes[True], **limits)
+    encoded = cross_one(found, enc.prior)
+    filled = {f"{c}_te": F.coalesce(F.col(f"_of_{c}.te"), F.col("prior")) for c in enc.cats}
+    return encoded.withColumns(filled).drop("prior", *[f"_of_{c}" for c in enc.cats])

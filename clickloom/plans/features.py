@@ -152,11 +152,11 @@ def sql_features(train: DataFrame, rows: DataFrame, mark: str = ",") -> DataFram
     """
     value = F.col("feat_a_1")
     stats = settle(
-        joins.with_group_stats(train, ["inventory_id"], feat_a_1_mean=F.avg(value), feat_a_1_std=F.stddev(value)), "inventory_stats"
+        joins.with_group_stats(train, ["inventory_id"], feat_a_1_mean=F.avg(value), feat_a_1_std=F.stddev(value), _n=F.count(F.lit(1))), "inventory_stats"
     )
     marks = F.regexp_count("seq", F.lit(re.escape(mark)))
     weekend = F.coalesce(F.col("day_of_week").try_cast("int").isin(6, 7), F.lit(False))
-    looked_up = joins.lookup_join(rows, stats, ["inventory_id"])
+    looked_up = joins.lookup_join(rows, stats, ["inventory_id"], "_n").drop("_n")
     return looked_up.withColumns({"seq_length": marks + 1, "is_weekend": weekend.cast("int")})
 
 
