@@ -112,6 +112,25 @@ def lookup_join(
     return _shuffled(df, table, on, weight, hot, spread or df.columns)
 
 
+def lookup_bucketed(df: DataFrame, table: DataFrame, on: Sequence[str], weight: str, hot: DataFrame | None = None) -> DataFrame:
+    """Left join of a table written by ``settle_bucketed`` on ``on``: the table does not move, however often it is used.
+
+    Rows of hot keys and of null keys do not go to the buckets: a few hot rows of the table are broadcast to
+    them (see ``lookup_join``). The others are shuffled once, into as many tasks as there are buckets.
+    """
+    on = list(on)
+    values = [c for c in table.columns if c not in on]
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    served = _hot_keys(table, on, weight, hot).join(table, on, "left").select(*on, F.lit(True).alias("_hot"), F.struct(*values).alias("_from_hot"))
+    marked = df.join(F.broadcast(served), on, "left")
+    here = F.coalesce("_hot", ~known)
+    columns = [*df.columns, *values]
+    direct = marked.where(here).select(*df.columns, *[F.col(f"_from_hot.{v}").alias(v) for v in values])
+    return direct.unionByName(marked.where(~here).select(*df.columns).join(table, on, "left").select(*columns))
+
+
 def lookup_columns(
     df: DataFrame,
     table: DataFrame,

@@ -14,6 +14,7 @@ from clickloom.plans import features
 from clickloom.plans.catalog.functions import D_EXPLODED, D_ITEMS, D_STATS, REAL_STATS
 from clickloom.plans.catalog.registry import D_IDS, ads, d6, duck_hash, logs, query, r6
 from clickloom.sources.impressions import CATS, train_test
+from clickloom.state import settle
 
 FOLD = affine_fold
 D_FOLD = "(event_id * 104729 + 42) % 5"
@@ -66,6 +67,15 @@ def target_encoding_of_new_rows(spark, sf):
     return out.select("event_id", *[r6(f"{c}_te").alias(f"{c}_te") for c in TE_CATS])
 
 
+@query(D_SPLIT + _duck_te(TE_CATS, "train") + " SELECT event_id, " + ", ".join(d6(f"coalesce(full_{c}.te, (SELECT prior FROM prior))") + f" AS {c}_te" for c in TE_CATS) + " " + _duck_te_join(TE_CATS, "full", "test"))
+def target_encoding_by_shuffle(spark, sf):
+    """As for tables too large to broadcast: all six columns are looked up in one shuffle."""
+    train, test = train_test(ads(spark, sf))
+    enc = target_encoding.fit(train, TE_CATS, "clicked", FOLD(F.col("event_id")))
+    out = target_encoding.apply_full(test, enc, ["event_id"], limit=0)
+    return out.select("event_id", *[r6(f"{c}_te").alias(f"{c}_te") for c in TE_CATS])
+
+
 @query(f"""
 , t AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, (l_orderkey * 104729 + 42) % 5 AS fold FROM lineitem),
 prior AS (SELECT sum(y) / count(*) AS prior FROM t),
@@ -107,9 +117,10 @@ def _rounded(df):
 @query(D_EXPLODED + _duck_te(CATS) + _duck_enriched("oof", "impressions", ", CAST(i.clicked AS TINYINT) AS clicked"))
 def enriched_train_table(spark, sf):
     """Originals, encodings, sequence statistics, vocabulary ratios, hashed bag, target."""
-    df = logs(spark, sf)
+    # Written once: the histories feed the vocabulary and the table.
+    df = settle(logs(spark, sf), "histories")
     fold = FOLD(F.col("event_id"))
-    enc = target_encoding.fit(ads(spark, sf), CATS, "clicked", fold)
+    enc = target_encoding.fit(df, CATS, "clicked", fold)
     vocab = features.fit_vocab(df)
     wide = features.enriched(df, enc, vocab, ["event_id", "gender", "history_a_1"], fold, narrow=False, spread=["event_id"])
     return _rounded(wide)
@@ -117,9 +128,8 @@ def enriched_train_table(spark, sf):
 
 @query(D_SPLIT + D_EXPLODED + _duck_te(CATS, "train") + _duck_enriched("full", "test", ""))
 def enriched_test_table(spark, sf):
-    train, test = train_test(logs(spark, sf))
-    labelled, _ = train_test(ads(spark, sf))
-    enc = target_encoding.fit(labelled, CATS, "clicked", FOLD(F.col("event_id")))
+    train, test = train_test(settle(logs(spark, sf), "histories"))
+    enc = target_encoding.fit(train, CATS, "clicked", FOLD(F.col("event_id")))
     vocab = features.fit_vocab(train)
     wide = features.enriched(test, enc, vocab, ["event_id", "gender", "history_a_1"], narrow=False, spread=["event_id"])
     return _rounded(wide)
@@ -295,6 +305,16 @@ def user_session_features(spark, sf):
     return out.select("event_id", *USER_COUNTS, *[r6(c).alias(c) for c in USER_REAL])
 
 
+@query(D_SPLIT + f""" SELECT event_id, {', '.join(USER_COUNTS)}, {', '.join(f'{d6(c)} AS {c}' for c in USER_REAL)}
+FROM test LEFT JOIN {D_USER_STATS.format('train')} USING (feat_c_2)""")
+def user_features_from_bucketed_table(spark, sf):
+    """The user table stored by user: only the rows move when they are looked up."""
+    train, test = train_test(logs(spark, sf))
+    users = features.fit_users(train, buckets=8)
+    out = joins.lookup_bucketed(test, users, ["feat_c_2"], "user_total_exposure")
+    return out.select("event_id", *USER_COUNTS, *[r6(c).alias(c) for c in USER_REAL])
+
+
 @query("""SELECT event_id, CASE WHEN n <= 50 THEN '0-50' WHEN n <= 200 THEN '51-200' WHEN n <= 500 THEN '201-500' ELSE '500+' END AS length_bin,
 CAST(n < 50 AS TINYINT) AS is_very_short FROM (SELECT event_id, len(string_split(seq, ',')) * 20 AS n FROM impressions)""")
 def length_bins(spark, sf):

@@ -7,9 +7,10 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import affine_fold
-from clickloom.operators import metrics, models, segments, target_encoding
-from clickloom.plans.catalog.encoders import D_SPLIT, _duck_te, _duck_te_join
-from clickloom.plans.catalog.registry import ads, d6, query, r6
+from clickloom.operators import joins, metrics, models, segments, target_encoding
+from clickloom.plans import features
+from clickloom.plans.catalog.encoders import D_SPLIT, D_USER_STATS, TE_CATS, _duck_te, _duck_te_join
+from clickloom.plans.catalog.registry import ads, d6, logs, query, r6
 from clickloom.sources.impressions import CATS, train_test
 from clickloom.state import new_path, settle
 from clickloom.streaming.scoring import score_arrivals
@@ -124,3 +125,60 @@ def stream_scoring(spark, sf):
     return score_arrivals(
         spark, source, arriving.schema, scorer, new_path(spark, "scored"), new_path(spark, "offsets")
     )
+
+
+D_STREAMED = D_SPLIT + _duck_te(TE_CATS, "train") + ' SELECT "ID", ' + ", ".join(
+    d6(f"coalesce(full_{c}.te, (SELECT prior FROM prior))") + f" AS {c}_te" for c in TE_CATS
+)
+
+
+@query(D_STREAMED + " " + _duck_te_join(TE_CATS, "full", "test"))
+def stream_scoring_by_shuffle(spark, sf):
+    """Encodings of arriving files with tables taken as too large to broadcast, the user id among them."""
+    train, test = train_test(ads(spark, sf))
+    enc = target_encoding.fit(train, TE_CATS, "clicked", affine_fold(F.col("event_id")))
+    source = new_path(spark, "arrivals")
+    arriving = settle(test.select("event_id", "ID", *TE_CATS), path=source)
+
+    def scorer(rows):
+        out = target_encoding.apply_full(rows, enc, ["event_id"], limit=0)
+        return out.select("ID", *[r6(f"{c}_te").alias(f"{c}_te") for c in TE_CATS])
+
+    return score_arrivals(spark, source, arriving.schema, scorer, new_path(spark, "scored"), new_path(spark, "offsets"))
+
+
+SERVED = [*[f"{c}_te" for c in TE_CATS], "history_a_1", "user_total_exposure", "user_mean_session_length"]
+
+
+def _with_users(rows, users):
+    """User statistics of the training rows; 0 for users never seen."""
+    return joins.lookup_bucketed(rows, users, ["feat_c_2"], "user_total_exposure").fillna(0.0)
+
+
+@query(D_STREAMED + f""", coalesce(u.user_total_exposure, 0) AS user_total_exposure, {d6("coalesce(u.user_mean_session_length, 0)")} AS user_mean_session_length,
+true AS same_as_batch {_duck_te_join(TE_CATS, "full", "test")} LEFT JOIN {D_USER_STATS.format("train")} u ON u.feat_c_2 = i.feat_c_2""")
+def stream_scoring_with_model(spark, sf):
+    """Arriving files joined to encodings and the bucketed user table, then scored by a reloaded model."""
+    train, test = train_test(settle(logs(spark, sf), "histories"))
+    fold = affine_fold(F.col("event_id"))
+    enc = target_encoding.fit(train, TE_CATS, "clicked", fold)
+    users = features.fit_users(train, buckets=8)
+    fitted = models.fit(_with_users(target_encoding.apply_train(train, enc, fold, ["event_id"]), users), SERVED, models.linear(rounds=5))
+    path = new_path(spark, "click_model")
+    fitted.write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    source = new_path(spark, "arrivals")
+    arriving = settle(test.select("event_id", "ID", *TE_CATS, "history_a_1"), path=source)
+
+    def scorer(rows):
+        made = _with_users(target_encoding.apply_full(rows, enc, ["event_id"], limit=0), users)
+        return models.score(made, model, ["event_id", "ID", *SERVED])
+
+    scored = score_arrivals(
+        spark, source, arriving.schema, scorer, new_path(spark, "scored"), new_path(spark, "offsets"), files_per_batch=3
+    )
+    batch = scorer(arriving).select("event_id", F.col("p").alias("_p"))
+    return scored.join(batch, "event_id", "left").select(
+        "ID", *[r6(f"{c}_te").alias(f"{c}_te") for c in TE_CATS], "user_total_exposure",
+        r6("user_mean_session_length").alias("user_mean_session_length"), F.coalesce(F.abs(F.col("p") - F.col("_p")) < 1e-9, F.lit(False)).alias("same_as_batch"),
+    )

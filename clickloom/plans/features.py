@@ -14,7 +14,7 @@ from clickloom.functions.hashing import md5_bucket
 from clickloom.operators import encoding, joins, scaling, tables, target_encoding
 from clickloom.operators.profile import distinct_with_null
 from clickloom.sources.impressions import CATS
-from clickloom.state import settle
+from clickloom.state import settle, settle_bucketed
 
 TARGET = "clicked"
 VOCAB_SIZE = 50
@@ -120,8 +120,11 @@ def _session_base(df: DataFrame, weekend: Sequence[str]) -> DataFrame:
     return _numbers_of_history(df).withColumns(_time_of_week(weekend) | crossed | length)
 
 
-def fit_users(df: DataFrame, user: str = "feat_c_2") -> DataFrame:
-    """Exposure, clicks and session length statistics per user; ``user_ctr`` includes own clicks."""
+def fit_users(df: DataFrame, user: str = "feat_c_2", buckets: int | None = None) -> DataFrame:
+    """Exposure, clicks and session length statistics per user; ``user_ctr`` includes own clicks.
+
+    With ``buckets`` the table is stored bucketed by user, for repeated use by ``joins.lookup_bucketed``.
+    """
     n = F.size(casts.tokens("seq"))
     stats = joins.with_group_stats(
         df.withColumn("_n", n), [user],
@@ -132,9 +135,8 @@ def fit_users(df: DataFrame, user: str = "feat_c_2") -> DataFrame:
         user_max_session_length=F.max("_n"),
         user_session_length_std=F.stddev_samp("_n"),
     )
-    return settle(
-        stats.withColumn("user_ctr", F.col("user_total_clicks") / F.col("user_total_exposure")), "user_stats"
-    )
+    stats = stats.withColumn("user_ctr", F.col("user_total_clicks") / F.col("user_total_exposure"))
+    return settle(stats, "user_stats") if buckets is None else settle_bucketed(stats, [user], buckets, "user_stats")
 
 
 def session_features(df: DataFrame, users: DataFrame, user: str = "feat_c_2", weekend: Sequence[str] = ("6", "7"), spread: Sequence[str] | None = None) -> DataFrame:
