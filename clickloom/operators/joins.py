@@ -20,7 +20,9 @@ def _size(table: DataFrame) -> Column:
     """Rows of ``table``, counted as more if they are wide: one number that bounds rows and bytes."""
     width = F.lit(0)
     for f in table.schema.fields:
-        width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8))
+        kind = f.dataType.typeName()
+        of = {"string": F.octet_length(f.name), "array": 8 * F.size(f.name)}.get(kind, F.lit(8))
+        width = width + F.coalesce(of, F.lit(0))
     return F.greatest(F.count(F.lit(1)), F.ceil(F.coalesce(F.sum(width), F.lit(0)) / ROW_BYTES)).cast("bigint")
 
 

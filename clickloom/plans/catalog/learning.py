@@ -7,10 +7,12 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from clickloom.functions.hashing import affine_fold
-from clickloom.operators import joins, metrics, models, segments, target_encoding
+from clickloom import bundle
+from clickloom.functions import casts, sequences
+from clickloom.operators import encoding, joins, metrics, models, scaling, segments, target_encoding
 from clickloom.plans import features
-from clickloom.plans.catalog.encoders import D_SPLIT, D_USER_STATS, TE_CATS, _duck_te, _duck_te_join
-from clickloom.plans.catalog.registry import ads, d6, logs, query, r6
+from clickloom.plans.catalog.encoders import D_SPLIT, D_USER_STATS, TE_CATS, _duck_quantile, _duck_te, _duck_te_join
+from clickloom.plans.catalog.registry import D_IDS, ads, d6, logs, query, r6
 from clickloom.sources.impressions import CATS, train_test
 from clickloom.state import new_path, settle
 from clickloom.streaming.scoring import score_arrivals
@@ -48,12 +50,41 @@ def parameter_search(spark, sf):
     return models.search(train, NUMBERS, learner, grid, "event_id", folds=2)[1]
 
 
-@query()
+def _duck_newton(name: str, keys: list[str], steps: int, ridge: float = 1.0) -> str:
+    """Tables ``<name>_0 .. <name>_<steps>`` of weights w0, w1, w2 per key: ridge Newton steps, solved by Cramer's rule."""
+    by = ", ".join(keys)
+    out = f", {name}_0 AS (SELECT {by}, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2 FROM scaled WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {by} HAVING count(*) >= 10)"
+    x = ("1", "x1", "x2")
+    h = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    det = lambda m: " + ".join(
+        f"{m[0][i]} * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})" for i in range(3)
+    )
+    whole = [[h[i, j] for j in range(3)] for i in range(3)]
+    swapped = lambda k: [[f"g{i}" if j == k else h[i, j] for j in range(3)] for i in range(3)]
+    for step in range(1, steps + 1):
+        grads = ", ".join(f"sum((y - p) * {x[i]}) - {0 if i == 0 else ridge} * w{i} AS g{i}" for i in range(3))
+        curves = ", ".join(f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {(1e-9 if i == 0 else ridge) if i == j else 0} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+        out += f""",
+{name}_s{step} AS (SELECT {by}, w0, w1, w2, {grads}, {curves} FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM scaled JOIN {name}_{step - 1} USING ({by})) GROUP BY {by}, w0, w1, w2),
+{name}_{step} AS (SELECT {by}, {", ".join(f"w{k} + ({det(swapped(k))}) / ({det(whole)}) AS w{k}" for k in range(3))} FROM {name}_s{step})"""
+    return out
+
+
+D_SEGMENT_X = ", ".join(
+    f"coalesce(({c} - (SELECT avg({c}) FROM filled)) / (SELECT stddev_pop({c}) FROM filled), 0) AS x{i}" for i, c in ((1, "history_a_1"), (2, "hour_n"))
+)
+
+
+@query(D_SPLIT + f""", every AS (SELECT event_id, clicked AS y, age_group, inventory_id, 1 AS everyone, coalesce(history_a_1, 0) AS history_a_1, coalesce(CAST(hour AS DOUBLE), 0) AS hour_n FROM impressions),
+filled AS (SELECT * FROM every WHERE event_id % 5 < 4), scaled AS (SELECT *, {D_SEGMENT_X} FROM filled), tested AS (SELECT *, {D_SEGMENT_X} FROM every WHERE event_id % 5 = 4)
+{_duck_newton("own", SEGMENTS, 3)} {_duck_newton("whole", ["everyone"], 3)}
+SELECT event_id, {d6("1 / (1 + exp(-(coalesce(o.w0, a.w0) + coalesce(o.w1, a.w1) * x1 + coalesce(o.w2, a.w2) * x2)))")} AS p, o.w0 IS NOT NULL AS own_model
+FROM tested t LEFT JOIN own_3 o ON o.age_group = t.age_group AND o.inventory_id = t.inventory_id, whole_3 a""")
 def segment_model_scores(spark, sf):
     """A logistic model per (age group, inventory), the model of all rows elsewhere."""
     train, test = _model_rows(spark, sf)
     fitted = segments.fit_segments(train, SEGMENTS, ["history_a_1", "hour_n"], "clicked", steps=3)
-    return segments.score_segments(test, fitted, ["event_id"])
+    return segments.score_segments(test, fitted, ["event_id"]).withColumn("p", r6("p"))
 
 
 @query()
@@ -182,3 +213,59 @@ def stream_scoring_with_model(spark, sf):
         "ID", *[r6(f"{c}_te").alias(f"{c}_te") for c in TE_CATS], "user_total_exposure",
         r6("user_mean_session_length").alias("user_mean_session_length"), F.coalesce(F.abs(F.col("p") - F.col("_p")) < 1e-9, F.lit(False)).alias("same_as_batch"),
     )
+
+
+SCALED = ["history_a_1", "feat_a_1"]
+
+
+def _apply_bundle(rows, fit: bundle.Bundle):
+    """All fitted state of a recipe on new rows: encodings, codes, scales, normal scores, vocabulary, two models."""
+    enc = target_encoding.TargetEncoding(["gender"], fit.tables["encoding"])
+    out = target_encoding.apply_full(rows, enc, ["event_id"])
+    cats = fit.values["categories"]
+    out = encoding.apply_codes(encoding.bucket_rare(out, fit.tables["rare"], cats, ["event_id"]), fit.tables["codes"], cats, suffix="_code", spread=["event_id"])
+    out = segments.score_segments(out, segments.from_parts(fit.tables, fit.values["segments"]), out.columns, "segment_p").drop("own_model")
+    out = models.score(out.fillna(0.0, fit.values["features"]), fit.models["clicks"], out.columns)
+    out = scaling.apply_quantiles(scaling.apply_standard(out, fit.tables["scaler"], SCALED), fit.tables["quantiles"], ["history_a_2"])
+    counted = sequences.with_counts(out.withColumn("_ids", casts.ids_lenient("seq")))
+    return sequences.with_ratios(sequences.with_stats(counted), fit.values["vocabulary"])
+
+
+@query(D_SPLIT + _duck_te(["gender"], "train") + f"""
+, lv AS (SELECT hour, CASE WHEN count(*) < 330 THEN '__RARE__' ELSE hour END AS level FROM train GROUP BY hour),
+hc AS (SELECT level, CAST(row_number() OVER (ORDER BY level) - 1 AS INT) AS code FROM (SELECT DISTINCT level FROM lv)),
+nums AS (SELECT * FROM (WITH one AS (SELECT 1){_duck_quantile("history_a_2", "train", "test")})),
+seqs AS (SELECT event_id, {D_IDS} AS ids FROM impressions),
+top AS (SELECT v FROM (SELECT unnest(ids) AS v FROM seqs WHERE event_id % 5 < 4) GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)
+SELECT i.event_id, {d6("coalesce(full_gender.te, (SELECT prior FROM prior))")} AS gender_te, coalesce(code, -1) AS hour_code, nums.history_a_2,
+{", ".join(f"{d6(f'(i.{c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train)')} AS {c}" for c in SCALED)},
+{d6("CASE WHEN len(ids) > 0 THEN len(list_filter(ids, lambda x: x = top.v)) / len(ids) ELSE 0 END")} AS top_ratio, true AS same_scores
+{_duck_te_join(["gender"], "full", "test")} LEFT JOIN lv ON lv.hour = i.hour LEFT JOIN hc USING (level) JOIN nums ON nums.event_id = i.event_id JOIN seqs ON seqs.event_id = i.event_id CROSS JOIN top""")
+def scored_by_published_bundle(spark, sf):
+    """A whole fit published as one bundle, reloaded, and applied to the test rows."""
+    train, test = train_test(settle(logs(spark, sf).withColumn("hour_n", F.col("hour").cast("double")), "histories"))
+    cats, used = ["hour"], ["history_a_1", "hour_n"]
+    rare = encoding.rare_levels(train, cats, 330)
+    seg = segments.fit_segments(train, SEGMENTS, used, "clicked", steps=2)
+    fitted = bundle.Bundle(
+        "in memory",
+        {
+            "encoding": target_encoding.fit(train, ["gender"], "clicked", affine_fold(F.col("event_id"))).table,
+            "rare": rare,
+            "codes": encoding.fit_codes(encoding.bucket_rare(train.select("event_id", *cats), rare, cats, ["event_id"]), cats),
+            "scaler": settle(scaling.fit_standard(train, SCALED), "scaler"),
+            "quantiles": settle(scaling.fit_quantiles(train, ["history_a_2"]), "quantiles"),
+            **segments.parts(seg),
+        },
+        {"clicks": models.fit(train.fillna(0.0, used), used, models.linear(rounds=5))},
+        {"vocabulary": features.fit_vocab(train, 10), "categories": cats, "features": used, "segments": {"keys": SEGMENTS, "features": used}},
+    )
+    root = new_path(spark, "bundles")
+    bundle.publish(spark, root, fitted.tables, fitted.models, fitted.values)
+    made = _apply_bundle(test, bundle.load(spark, root))
+    first = _apply_bundle(test, fitted).select("event_id", F.col("p").alias("_p"), F.col("segment_p").alias("_q"))
+    same = (F.abs(F.col("p") - F.col("_p")) < 1e-12) & (F.abs(F.col("segment_p") - F.col("_q")) < 1e-12)
+    return made.join(first, "event_id", "left").select(
+        "event_id", r6("gender_te").alias("gender_te"), "hour_code", (F.round("history_a_2", 5) + F.lit(0.0)).alias("history_a_2"),
+        *[r6(c).alias(c) for c in SCALED], r6(F.get("ratio", F.lit(0))).alias("top_ratio"), F.coalesce(same, F.lit(False)).alias("same_scores"),
+    )

@@ -140,3 +140,31 @@ def test_auc_of_margins_and_tiny_scores(spark):
         df = spark.createDataFrame(list(zip([1, 1, 0, 0], scores, strict=True)), "y int, p double")
         row = metrics.ranking_metrics(df, "y", "p").first()
         assert (row["auc"], row["ap"]) == (1.0, 1.0)
+
+
+def test_segment_models_with_sixty_features(spark, monkeypatch):
+    """Weights equal those of a direct solve per segment, also when partial sums are handed on early."""
+    rng = np.random.default_rng(4)
+    n, d = 3000, 60
+    x = rng.normal(size=(n, d))
+    seg = np.where(np.arange(n) % 3 == 0, 0, rng.integers(1, 9, n))
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, :3].sum(1)))).astype(int)
+    names = [f"x{i}" for i in range(d)]
+    df = spark.createDataFrame([(int(i), f"s{s}" if s < 8 else None, int(t), *map(float, r)) for i, (s, t, r) in enumerate(zip(seg, y, x))], ["id", "seg", "y", *names])
+    z = np.c_[np.ones(n), (x - x.mean(0)) / x.std(0)]
+
+    def direct(rows):
+        w, penalty = np.zeros(d + 1), np.diag([1e-9] + [2.0] * d)
+        for _ in range(4):
+            p = 1 / (1 + np.exp(-z[rows] @ w))
+            w = w + np.linalg.solve((z[rows] * (p * (1 - p))[:, None]).T @ z[rows] + penalty, z[rows].T @ (y[rows] - p) - penalty @ w)
+        return w
+
+    monkeypatch.setattr(segments, "HELD_BYTES", 1)
+    fitted = segments.fit_segments(df.repartition(5), ["seg"], names, "y", steps=4, ridge=2.0)
+    names = [f"w{i}" for i in range(d + 1)]
+    got = {r["seg"]: np.array([r[w] for w in names]) for r in fitted.weights.collect()}
+    assert set(got) == {f"s{s}" for s in range(8)}
+    for s in range(8):
+        assert np.allclose(got[f"s{s}"], direct(seg == s), atol=1e-8)
+    assert np.allclose(np.array(fitted.whole.select(*names).first()), direct(np.full(n, True)), atol=1e-8)
