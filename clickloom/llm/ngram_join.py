@@ -8,7 +8,9 @@ There are ``slack`` more segments than needed: two alike sets then share at leas
 so every set may leave out its ``slack`` segments with the longest lists (empty ones, shared passages).
 
 Lists are made in buckets of packed signatures. Sets are first linked to one frequent partner each and
-grouped; then only pairs of sets from different groups are looked at. Every pair is verified on whole sets.
+grouped; then only pairs of sets from different groups are looked at, and of these only such as their
+sizes, their own shingles and their differences to the partner leave open. These bounds never rule out an
+alike pair. Every pair left is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BUCKET_ROWS = 1_500_000
 #: Cost model: signatures that one list of unrelated sets costs. Such lists come from short segments; a
 #: segment that holds ``per`` shingles on average is empty, and so in common, with a chance of exp(-per).
 LIST_COST = 80
+#: Earlier lists of a set that travel with it, to tell whether a pair has been looked at.
+EARLIER = 16
 #: Share of a band's differences held as slack.
 SLACK = 0.12
 
@@ -229,17 +233,18 @@ def _lists(table: pa.Table) -> pa.Table:
     })
 
 
-def _verified(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+COMPARED_DDL = "a bigint, b bigint, total_a bigint, total_b bigint, both bigint"
 
-    return run
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the sets of each pair and of what they share."""
+    for batch in batches:
+        rows = []
+        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            rows.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+        sizes = np.array(rows, np.int64).reshape(-1, 3).T
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *map(pa.array, sizes)], ["a", "b", "total_a", "total_b", "both"])
 
 
 def _sets(words: int):
@@ -263,8 +268,11 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(nodes)], ["shingle", "node"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The alike ones of pairs (a, b). A set in very many pairs is repeated under several sub-keys."""
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of both sets and of what they share.
+
+    A set in very many pairs is repeated under several sub-keys.
+    """
     per = 200
     for side in "ab":
         uses = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("deals"))
@@ -274,7 +282,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         marked = hot_join(pairs, many, [side], "n", ["a", "b"], "left")
         dealt = marked.withColumn("deal", F.pmod(F.xxhash64("a", "b"), F.coalesce("deals", F.lit(1))).cast("int")).drop("deals")
         pairs = dealt.join(mine.drop("deals"), [side, "deal"]).drop("deal")
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_verified(num, den), "a bigint, b bigint")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_shared, COMPARED_DDL)
 
 
 def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -333,23 +341,49 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     votes = led.groupBy("node", F.col("head.node").alias("pivot")).agg(F.count(F.lit(1)).alias("n"), F.min("head.own").alias("own"))
     partner = votes.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("own"), "pivot")).alias("pivot"))
     tried = settle(partner.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "join_tried")
-    links = settle(verify(tried, sets, num, den), "join_links")
+    compared = settle(compare(tried, sets), "join_compared")
+    alike_pairs = F.col("both") * den >= (F.col("total_a") + F.col("total_b") - F.col("both")) * num
+    links = compared.where(alike_pairs).select("a", "b")
     groups = components(links)
-    known = settle(possible.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("group")), "join_groups")
+    # What a set lacks of its partner and has beyond it: by these counts alone most pairs of sets with the
+    # same partner, which are most pairs of a group of edited copies, are too far apart.
+    ends = partner.select("node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    first = F.col("node") == F.col("a")
+    own_total, its_total = F.when(first, F.col("total_a")).otherwise(F.col("total_b")), F.when(first, F.col("total_b")).otherwise(F.col("total_a"))
+    shapes = ends.join(compared, ["a", "b"]).select("node", "pivot", (its_total - F.col("both")).alias("lacks"), (own_total - F.col("both")).alias("has"))
+    known = settle(
+        possible.select("node").join(groups, "node", "left").join(shapes, "node", "left")
+        .select("node", F.coalesce("label", "node").alias("group"), "pivot", "lacks", "has"), "join_groups"
+    )
     labelled = held.join(known, "node")
     mixed_runs = labelled.groupBy("run").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count(F.lit(1)).alias("n")).where("g0 <> g1")
+    # A pair is looked at in the first list that both sets are in: in a later one, an earlier common list is
+    # among the last few of both, or else the pair comes once more.
+    earlier = F.collect_list("run").over(Window.partitionBy("node").orderBy("run").rowsBetween(-EARLIER, -1))
+    whole = F.struct("own", "node", "total", "pivot", "lacks", "has", "earlier")
     members = settle(
-        hot_join(labelled, mixed_runs.select("run", "n"), ["run"], "n", ["node"]).select("run", "group", me.alias("me")), "join_mixed"
+        hot_join(labelled, mixed_runs.select("run", "n"), ["run"], "n", ["node"])
+        .withColumn("earlier", earlier).select("run", "group", whole.alias("me")), "join_mixed"
     )
+
+    def apart(x: str, y: str):
+        """Are sets x and y, compared to the same partner, too far apart by what they lack and have?"""
+        of = lambda side, name: F.col(f"{side}.{name}")
+        beyond = of(x, "has") + of(y, "has") - 2 * F.least(of(x, "has") - of(x, "own"), of(y, "has") - of(y, "own"))
+        differ = F.abs(of(x, "lacks") - of(y, "lacks")) + beyond
+        far = differ * (den + num) > (of(x, "total") + of(y, "total")) * (den - num)
+        return F.coalesce((of(x, "pivot") == of(y, "pivot")) & far, F.lit(False))
+
     # Pairs of different groups within a list that can still be alike.
     left = members.select("run", F.col("me").alias("x"), F.col("group").alias("ga"))
     right = members.select(F.col("run").alias("run_b"), F.col("me").alias("y"), F.col("group").alias("gb"))
     near = left.join(
         right, (F.col("run") == F.col("run_b")) & (F.col("x.node") < F.col("y.node")) & (F.col("ga") != F.col("gb")) & fits("x", "y")
+        & ~apart("x", "y") & ~F.arrays_overlap("x.earlier", "y.earlier")
     )
     pairs = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = settle(verify(settle(pairs.join(tried, ["a", "b"], "left_anti"), "join_pairs"), sets, num, den), "join_more")
-    classes = components(links.unionByName(more))
+    more = compare(settle(pairs.join(tried, ["a", "b"], "left_anti"), "join_pairs"), sets)
+    classes = components(links.unionByName(settle(more.where(alike_pairs).select("a", "b"), "join_more")))
 
     alike = keyed.groupBy("node", "node2", "n_shingles").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     labelled_sets = alike.join(classes, "node", "left").withColumn("label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")))
