@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from clickloom.operators.joins import cross_one
 from clickloom.operators.metrics import evaluate
 from clickloom.operators.profile import class_ratio
-from clickloom.operators.sampling import stratified_folds
+from clickloom.operators.sampling import stratified_folds, time_blocks
 from clickloom.state import settle
 
 LABEL = "clicked"
@@ -86,6 +86,62 @@ def search(df: DataFrame, features: Sequence[str], learner: Estimator, grid: lis
     return tuned.bestModel, df.sparkSession.createDataFrame(rows, "candidate string, score double")
 
 
+def search_over_time(
+    df: DataFrame, features: Sequence[str], candidates: Mapping[str, Estimator], time_col: str, id_col: str, splits: int = 3
+) -> tuple[PipelineModel, DataFrame]:
+    """Try every candidate on expanding time blocks: train on all blocks before a block, judge on that block.
+
+    Rows are written once with their block's number, and every split is a filter on it: no row is copied.
+    All candidates of a split score its block side by side in one pass, and one aggregation judges all splits
+    and candidates. Returns the candidate with the best mean score, refitted on all rows, and the table
+    (split, candidate, train_rows, valid_rows, ap, auc, wll, score, best). A block or a training part
+    without both classes is left out of the means; ties go to the first name.
+    """
+    blocks = settle(time_blocks(df, time_col, splits + 1), "time_blocks")
+    sizes = {r["block"]: r for r in blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("clicks")).collect()}
+    upto = lambda k, c: sum(sizes[b][c] for b in sizes if b < k)
+    names, judged, counts = sorted(candidates), None, []
+    for k in range(1, splits + 1):
+        if k not in sizes:
+            continue
+        counts.append((k, upto(k, "n"), sizes[k]["n"]))
+        if not (0 < upto(k, "clicks") < upto(k, "n") and 0 < sizes[k]["clicks"] < sizes[k]["n"]):
+            continue
+        scored = blocks.where(F.col("block") == k).select(id_col, LABEL, *features)
+        train = blocks.where(F.col("block") < k)
+        for i, name in enumerate(names):
+            scored = score(scored, fit(train, features, candidates[name]), scored.columns, f"_p{i}")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(f"_p{i}").alias("p")) for i, n in enumerate(names)]))
+        part = scored.select(LABEL, F.lit(k).alias("split"), each.alias("c")).select("split", "c.candidate", LABEL, "c.p")
+        judged = part if judged is None else judged.unionByName(part)
+    told = df.sparkSession.createDataFrame([(*c, n) for c in counts for n in names], "split int, train_rows bigint, valid_rows bigint, candidate string")
+    if judged is None:
+        raise ValueError("no block of time has both classes before it and in it")
+    results = settle(evaluate(settle(judged, "time_scores"), LABEL, "p", ["split", "candidate"]), "time_results")
+    best = results.groupBy("candidate").agg(F.avg("score").alias("mean")).orderBy(F.desc("mean"), "candidate").first()["candidate"]
+    table = told.join(results, ["split", "candidate"], "left").withColumn("best", F.col("candidate") == best)
+    return fit(blocks, features, candidates[best]), table
+
+
+def field_model(df: DataFrame, cats: Sequence[str], numbers: Sequence[str], learner: Estimator) -> PipelineModel:
+    """Train on one sparse vector per row: a slot per code of each category field, then the numbers.
+
+    ``cats`` hold codes from ``encoding.apply_codes`` moved up by one, so that 0 is the slot of unknown
+    values; codes beyond those of training share one more slot. A field may have millions of codes: a row
+    stores one index per field. Numbers must have no nulls.
+    """
+    slots = [f"{c}_slot" for c in cats]
+    fields = OneHotEncoder(inputCols=list(cats), outputCols=slots, dropLast=False, handleInvalid="keep")
+    vector = VectorAssembler(inputCols=[*slots, *numbers], outputCol="features")
+    return Pipeline(stages=[fields, vector, learner]).fit(with_weight(df))
+
+
+def field_offsets(model: PipelineModel) -> list[int]:
+    """First slot of each category field in the vectors of a ``field_model``."""
+    sizes = [n + 1 for n in model.stages[0].categorySizes]
+    return [sum(sizes[:i]) for i in range(len(sizes))]
+
+
 def fold_models(
     train: DataFrame, test: DataFrame, features: Sequence[str], learner: Estimator, id_col: str, folds: int = 5
 ) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,23 +95,46 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def density(df: DataFrame, column: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on an even grid that reaches ``cut`` bandwidths past the data.
 
-    The bandwidth is the deviation times n^(-1/5). Equal values are counted first; each task then
-    adds its values' kernels to the grid points, and only grid points are shuffled.
+    The bandwidth is the deviation times n^(-1/5). Equal values are counted first; a task adds the kernels of
+    its values to the grid points in their reach, as arrays, and hands on one row per grid point. Without
+    any spread (fewer than two different values) the density is null.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
     counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     facts = values.agg(
         F.count("x").alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        (F.stddev_samp("x") * F.pow(F.count("x"), F.lit(-0.2))).alias("h"),
+        F.nullif(F.stddev_samp("x") * F.pow(F.count("x"), F.lit(-0.2)), F.lit(0.0)).alias("h"),
     )
     step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)
-    at = F.col("lo") - cut * F.col("h") + F.col("point") * step
-    grid = cross_one(counts, facts).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+    placed = facts.select("rows", "h", (F.col("lo") - cut * F.col("h")).alias("start"), step.alias("step"))
+    known = cross_one(counts, placed).where("h IS NOT NULL").select("x", "n", "h", "start", "step")
+    sums = known.mapInArrow(_kernel_sums(points), "point int, kernels double").groupBy("point").agg(F.sum("kernels").alias("kernels"))
+    grid = cross_one(df.sparkSession.range(points).select(F.col("id").cast("int").alias("point")), placed)
+    scale = F.col("rows") * F.col("h") * math.sqrt(2 * math.pi)
+    return grid.join(F.broadcast(sums), "point", "left").select(
+        "point", (F.col("start") + F.col("point") * F.col("step")).alias("x_at"), (F.coalesce("kernels", F.lit(0.0)) / scale).alias("density")
     )
-    kernel = F.exp(-0.5 * F.pow((at - F.col("x")) / F.col("h"), F.lit(2.0)))
-    weight = F.col("n") / (F.col("rows") * F.col("h") * math.sqrt(2 * math.pi))
-    return grid.groupBy("point", at.alias("x_at")).agg(F.sum(kernel * weight).alias("density"))
+
+
+#: Bandwidths beyond which a kernel adds nothing to a sum of doubles.
+REACH = 9.0
+
+
+def _kernel_sums(points: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(points)
+        for b in batches:
+            x, n, h, start, step = (b.column(c).to_numpy() for c in ("x", "n", "h", "start", "step"))
+            if not len(x):
+                continue
+            reach = min(points, math.ceil(REACH * h[0] / step[0]) + 1)
+            near = np.rint((x - start) / step).astype(np.int64)[:, None] + np.arange(-reach, reach + 1)
+            kernels = n[:, None] * np.exp(-0.5 * ((start[0] + near * step[0] - x[:, None]) / h[0]) ** 2)
+            there = (near >= 0) & (near < points)
+            total += np.bincount(near[there], kernels[there], points)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(points, dtype=np.int32)), pa.array(total)], ["point", "kernels"])
+
+    return run
 
 
 def class_ratio(df: DataFrame, label: str = "clicked") -> DataFrame:

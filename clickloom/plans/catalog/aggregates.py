@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import casts
 from clickloom.functions.hashing import affine_fold
-from clickloom.operators import joins, profile, target_encoding
+from clickloom.operators import joins, profile, sketches, target_encoding
 from clickloom.operators.ranking import exact_quantiles
 from clickloom.plans import features
 from clickloom.plans.catalog.registry import D_IDS, ads, d6, logs, query, r6
 from clickloom.sources.impressions import CATS
+from clickloom.state import settle
 
 D_LEN = "len(string_split(seq, ','))"
 
@@ -240,3 +241,34 @@ FROM g, impressions GROUP BY point""")
 def density_curve(spark, sf):
     """Kernel density of all rows."""
     return profile.density(ads(spark, sf), "history_a_1").withColumns({"x_at": r6("x_at"), "density": r6("density")})
+
+
+SKETCHED = ["gender", "inventory_id", "feat_c_2", "ID"]
+SKETCH_PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@query(" UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", CAST(NULL AS DOUBLE) AS q, CAST(count(DISTINCT {c}) AS BIGINT) AS exact, true AS within FROM impressions WHERE event_id % 7 < 5""" for c in SKETCHED]
+    + [f"""SELECT '{c}', CAST({q} AS DOUBLE), CAST(count({c}) AS BIGINT), true FROM impressions WHERE event_id % 7 < 5""" for c in ("history_a_1", "feat_e_3") for q in SKETCH_PROBS]
+))
+def sketches_of_parts_merged(spark, sf):
+    """Sketches stored per part, five of seven parts merged: beside the exact counts, within the stated errors.
+
+    ``exact`` is the exact distinct count of a category, or the number of values whose ranks judge a quantile.
+    """
+    df = ads(spark, sf)
+    numbers = ["history_a_1", "feat_e_3"]
+    parts = settle(sketches.sketch_parts(df, F.col("event_id") % 7, SKETCHED, numbers), "sketches")
+    all_parts = settle(sketches.merged(parts.where("part < 5")), "merged_sketches")
+    rows = df.where("event_id % 7 < 5")
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).unpivot([], SKETCHED, "column", "exact")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), sketches.COUNT_ERROR * F.col("exact"))
+    counted = exact.join(F.broadcast(sketches.distinct_counts(all_parts)), "column", "left").select(
+        "column", F.lit(None).cast("double").alias("q"), "exact", F.coalesce(near, F.lit(False)).alias("within")
+    )
+    long = rows.select(*numbers).unpivot([], numbers, "column", "x").where("x IS NOT NULL")
+    ranks = long.join(F.broadcast(sketches.quantiles(all_parts, SKETCH_PROBS)), "column").groupBy("column", "q").agg(
+        F.count(F.lit(1)).alias("exact"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto")
+    )
+    low, high = F.col("below") / F.col("exact") - sketches.RANK_ERROR, F.col("upto") / F.col("exact") + sketches.RANK_ERROR
+    return counted.unionByName(ranks.select("column", "q", "exact", F.col("q").between(low, high).alias("within")))

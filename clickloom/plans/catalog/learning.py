@@ -12,6 +12,7 @@ from clickloom.functions import casts, sequences
 from clickloom.operators import encoding, joins, metrics, models, scaling, segments, target_encoding
 from clickloom.plans import features
 from clickloom.plans.catalog.encoders import D_SPLIT, D_USER_STATS, TE_CATS, _duck_quantile, _duck_te, _duck_te_join
+from clickloom.plans.catalog.samples import D_EDGE, D_TIME
 from clickloom.plans.catalog.registry import D_IDS, ads, d6, logs, query, r6
 from clickloom.sources.impressions import CATS, train_test
 from clickloom.state import new_path, settle
@@ -269,3 +270,39 @@ def scored_by_published_bundle(spark, sf):
         "event_id", r6("gender_te").alias("gender_te"), "hour_code", (F.round("history_a_2", 5) + F.lit(0.0)).alias("history_a_2"),
         *[r6(c).alias(c) for c in SCALED], r6(F.get("ratio", F.lit(0))).alias("top_ratio"), F.coalesce(same, F.lit(False)).alias("same_scores"),
     )
+
+
+@query(D_TIME + f""", b AS (SELECT event_id, {" + ".join(f"CAST((t >= {D_EDGE.format(q=q)}) AS INT)" for q in (0.25, 0.5, 0.75))} AS block FROM t, s),
+n AS (SELECT block, count(*) AS n FROM b GROUP BY block)
+SELECT CAST(split AS INT) AS split, candidate, CAST((SELECT sum(n) FROM n WHERE block < split) AS BIGINT) AS train_rows, (SELECT n FROM n WHERE block = split) AS valid_rows,
+true AS judged FROM range(1, 4) AS r(split), (VALUES ('strong'), ('trees'), ('weak')) AS c(candidate)""")
+def search_over_time_blocks(spark, sf):
+    """Three candidates on three expanding splits; the best one is refitted on all rows."""
+    df = ads(spark, sf).withColumn("hour_n", F.col("hour").cast("double"))
+    rows = df.select("event_id", "event_time", "clicked", *NUMBERS).fillna(0.0, NUMBERS)
+    candidates = {"weak": models.linear(5, 0.01), "strong": models.linear(5, 1.0), "trees": models.boosted_trees(rounds=3, depth=2)}
+    _, results = models.search_over_time(rows, NUMBERS, candidates, "event_time", "event_id", splits=3)
+    return results.select("split", "candidate", "train_rows", "valid_rows", F.col("score").between(0, 1).alias("judged"))
+
+
+FIELDS = ["gender", "age_group", "inventory_id", "hour", "feat_c_2"]
+
+
+@query(D_SPLIT + "".join(
+    f", k_{c} AS (SELECT v, row_number() OVER (ORDER BY v) AS slot, count(*) OVER () + 2 AS size FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM train WHERE {c} IS NOT NULL))" for c in FIELDS
+) + " SELECT event_id, array_to_string([" + ", ".join(
+    " + ".join([*[f"(SELECT max(size) FROM k_{d})" for d in FIELDS[:i]], f"coalesce(k_{c}.slot, 0)"]) for i, c in enumerate(FIELDS)
+) + "], ' ') AS slots, true AS is_probability FROM test " + " ".join(f"LEFT JOIN k_{c} ON k_{c}.v = CAST(test.{c} AS VARCHAR)" for c in FIELDS))
+def factor_machine_on_fields(spark, sf):
+    """Category fields, the user id among them, as one sparse vector; the slots each row fills."""
+    train, test = train_test(settle(ads(spark, sf).select("event_id", "clicked", *FIELDS, "history_a_1"), "field_rows"))
+    codes = encoding.fit_codes(train, FIELDS)
+
+    def coded(df):
+        out = encoding.apply_codes(df, codes, FIELDS, spread=["event_id"])
+        return out.withColumns({c: (F.col(c) + 1).cast("double") for c in FIELDS} | {"x": F.log1p("history_a_1")})
+
+    model = models.field_model(coded(train), FIELDS, ["x"], models.factor_machine(factors=2, rounds=10))
+    slots = [F.lit(at) + F.col(c).cast("bigint") for c, at in zip(FIELDS, models.field_offsets(model), strict=True)]
+    rows = coded(test).withColumn("slots", F.concat_ws(" ", *slots))
+    return models.score(rows, model, ["event_id", "slots"]).select("event_id", "slots", _is_probability().alias("is_probability"))
