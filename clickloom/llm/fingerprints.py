@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clickloom.llm.common import SPACE
+from clickloom.state import settle
 
 SHINGLE = 5
 BIN_BITS = 7
@@ -140,26 +141,40 @@ def as_text(samples: str) -> Column:
     return F.array_join(F.transform(samples, lambda x: F.hex(short(x))), "")
 
 
+#: Characters of a text that help to order it among rows of the same id when blocks are drawn up.
+PREFIX = 32
+#: Borders that are searched one by one; above that, groups of borders first.
+FEW = 64
+
+
+def _place() -> Column:
+    """Place of a row in the order of ids (null first), then texts; rows equal in this stay in one block."""
+    return F.struct(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.substring("text", 1, PREFIX).alias("start"))
+
+
 def in_order_blocks(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, extra, block) in which every document meets the next one in its own block.
 
-    Blocks are equal ranges of ids, a few per shuffle partition; the first document of a block is added
-    to the block before it as an ``extra`` row, the very first one to the last block. Texts move once.
+    Blocks are ranges of rows in order, a few per shuffle partition and about equally large wherever the ids
+    lie; a null or repeated id is split by the starts of the texts. The first document of a block is added to
+    the block before it as an ``extra`` row, the very first one to the last block. Texts move once.
     """
     spark = docs.sparkSession
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = 1 if low is None else math.floor((high - low) / blocks) + 1
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("bigint"), F.lit(-1))
-    placed = docs.withColumn("block", block)
-    # One row per block, at most four per shuffle partition (and one for null ids).
-    mins = placed.groupBy("block").agg(F.min("doc_id").alias("first_id"))
-    everything = Window.orderBy("block")
-    before = F.coalesce(F.lag("block").over(everything), F.max("block").over(Window.partitionBy(F.lit(0))))
-    mins = mins.select(F.col("block").alias("b"), "first_id", before.alias("goes_to"))
+    places = settle(docs.select(_place().alias("place")).select("place.*"), "fingerprint_places")
+    ranged = places.repartitionByRange(blocks, "has_id", "id", "start").select(F.spark_partition_id().alias("part"), F.struct(*places.columns).alias("place"))
+    # One short row per range: its first place.
+    borders = ranged.groupBy("part").agg(F.min("place").alias("border")).agg(F.sort_array(F.collect_list("border")).alias("borders"))
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("borders") - 1) / FEW)), lambda g: F.slice("borders", (g * FEW + 1).cast("int"), F.lit(FEW)))
+    borders = settle(borders.where(F.size("borders") > 0).withColumn("groups", groups), "fingerprint_borders")
+    met = docs.join(F.broadcast(borders)).withColumn("place", _place())
+    group = F.size(F.filter("groups", lambda g: g[0] <= F.col("place"))) - 1
+    within = F.size(F.filter(F.get("groups", F.col("group")), lambda x: x <= F.col("place"))) - 1
+    placed = met.withColumn("group", group).withColumn("block", F.col("group") * FEW + within)
+    goes_to = F.when(F.col("block") > 0, F.col("block") - 1).otherwise(F.size("borders") - 1)
     heads = (
-        placed.join(F.broadcast(mins), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("goes_to", "block")
+        placed.where(F.col("place") == F.get("borders", F.col("block")))
+        .groupBy("block", goes_to.alias("goes_to"))
         .agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
         .select("doc_id", "text", F.lit(1).alias("extra"), F.col("goes_to").alias("block"))
     )

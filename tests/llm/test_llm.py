@@ -554,3 +554,22 @@ def test_pipeline_stages_on_edge_tables(spark, docs, nothing, tmp_path):
             out.write.parquet(path)
             at = spark.read.parquet(path)
         assert at.count() >= 0
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_fingerprints_of_ids_far_apart_and_repeated(spark, many_ranges, monkeypatch, few):
+    """Ids at both ends of long, one far id, many null ids and a hot id: the next document is found, blocks stay even."""
+    monkeypatch.setattr(fingerprints, "FEW", few)
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(12))
+    ids = [-(2**63), -9 * 10**18, 0, 9 * 10**18, 2**63 - 1, *range(200), *[7] * 300, *[None] * 300]
+    rows = [(i, text()) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    ordered = sorted(rows, key=key)
+    want = Counter()
+    for (i, t), (_, n) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        want[i, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprints(docs).collect()) == want
+    sizes = [r["count"] for r in fingerprints.in_order_blocks(docs).groupBy("block").count().collect()]
+    assert len(sizes) >= 16 and max(sizes) < 4 * np.median(sizes)
