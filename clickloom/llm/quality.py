@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from clickloom.llm.common import texts
 from clickloom.llm.textblocks import Words, blocks, grams
@@ -239,35 +240,46 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     chosen = F.broadcast(marked.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < edge))
     # texts() renames nothing that labels hold, and the chosen ids are at most fit_rows rows.
     rows = with_statistics(docs.join(chosen.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi"))
-    found = rows.join(chosen, "doc_id").toPandas()
+    # One row per id, however many rows hold it: the least by its counts.
+    single = rows.groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *EXTRA)).alias("least")).select("doc_id", "least.*")
+    found = single.join(chosen, "doc_id").toPandas()
     found = found.sort_values(["doc_id", *COUNTS, *EXTRA])
     x = features({c: found[c].to_numpy() for c in (*COUNTS, *EXTRA)})
     return fit_trees(x, found["quality"].to_numpy(float), list(FEATURES.values()))
 
 
-def judge(docs: DataFrame, trees: Trees, carry: list[str] | None = None) -> DataFrame:
-    """``docs`` columns in ``carry`` with the counts, ``score``, ``base_failed`` and ``kept``.
+JUDGED = [*COUNTS, "score", "base_failed", "kept"]
 
-    base_failed: fewer than 50 words, or over half of them in repeated three-word windows. kept: not
-    base_failed and a score of even odds or better.
-    """
-    carry = ["doc_id"] if carry is None else carry
-    kept_columns = [*COUNTS, "score", "base_failed", "kept"]
+
+def _judged(docs: DataFrame, trees: Trees, carry: list[str]) -> DataFrame:
+    """``doc``, a struct of the carried columns, with the counts and verdicts: no carried name can clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = statistics(b.column("_text").to_pylist())
+            s = statistics(b.column("text").to_pylist())
             score = trees.score(features(s))
             failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-            cols = [b.column(c) for c in b.schema.names if c != "_text"]
-            names = [c for c in b.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, *[pa.array(s[c]) for c in COUNTS], pa.array(score), pa.array(failed), pa.array(~failed & (score >= 0))],
-                [*names, *kept_columns],
-            )
-
-    slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"c_{c}") for c in carry])
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text")
-    ddl = types + ", " + ", ".join(f"{c} bigint" for c in COUNTS) + ", score double, base_failed boolean, kept boolean"
-    out = slim.mapInArrow(run, ddl)
-    return out.select(*[F.col(f"c_{c}").alias(c) for c in carry], *kept_columns)
+            cols = [*[pa.array(s[c]) for c in COUNTS], pa.array(score), pa.array(failed), pa.array(~failed & (score >= 0))]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *cols], ["doc", *JUDGED])
+
+    slim = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    results = [*[StructField(c, LongType()) for c in COUNTS], StructField("score", DoubleType())]
+    results += [StructField(c, BooleanType()) for c in ("base_failed", "kept")]
+    return slim.mapInArrow(run, StructType([slim.schema["doc"], *results]))
+
+
+def judge(docs: DataFrame, trees: Trees, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` columns in ``carry`` (default: doc_id) with the counts, ``score``, ``base_failed`` and ``kept``.
+
+    base_failed: fewer than 50 words, or over half of them in repeated three-word windows. kept: not
+    base_failed and a score of even odds or better. Every row is judged by itself: null and repeated ids and
+    repeated rows come back as often as they are there; a null text has no words and fails; a very long
+    text is counted whole; an empty table gives an empty one. A carried column named as a result stands
+    beside it under the same name: take ``kept_documents`` for such tables.
+    """
+    return _judged(docs, trees, ["doc_id"] if carry is None else carry).select("doc.*", *JUDGED)
+
+
+def kept_documents(docs: DataFrame, trees: Trees) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs`` whatever their names."""
+    return _judged(docs, trees, docs.columns).where("kept").select("doc.*")

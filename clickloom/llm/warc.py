@@ -33,6 +33,19 @@ def base32(hex_digest: Column) -> Column:
     return F.concat(*letters)
 
 
+def _uri(url: Column) -> Column:
+    """The url with blanks and control characters percent-encoded, as a header line needs it."""
+    out = url
+    for code in (*range(0x21), 0x7F):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike("[\\x00-\\x20\\x7f]"), out).otherwise(url)
+
+
+def _record_name(page_id: Column, url: Column, copy: Column) -> Column:
+    """What names a record: its page, a hash of url and payload address, its number among equal rows."""
+    return F.concat_ws("-", F.coalesce(page_id.cast("string"), F.lit("none")), F.lower(F.hex(F.xxhash64(url, "address"))), copy.cast("string"))
+
+
 def _header(min_bytes: int) -> Column:
     is_response = F.col("record_type") == "response"
     lines = [
@@ -40,7 +53,7 @@ def _header(min_bytes: int) -> Column:
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("record"), F.lit(">")),
         F.lit(f"WARC-Date: {NO_DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20\\x7f]", "")),
+        F.concat(F.lit("WARC-Target-URI: "), _uri(F.coalesce("url", F.lit("")))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1_base32")),
         F.when(~is_response, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_record"), F.lit(">"))),
         F.when(~is_response, F.lit(f"WARC-Profile: {PROFILE}")),
@@ -85,8 +98,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str =
     with_first = hot_join(slim, checked, ["address"], "n", ["page_id", "url"])
     records = with_first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     is_first = (place == F.col("first")) & (F.col("copy") == 1)
-    name = F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.col("copy").cast("string"))
-    first_name = F.concat_ws("-", F.coalesce(F.col("first.page_id").cast("string"), F.lit("none")), F.lit("1"))
+    name = _record_name(F.col("page_id"), F.col("url"), F.col("copy"))
+    first_name = _record_name(F.col("first.page_id"), F.col("first.url"), F.lit(1))
     typed = records.select(
         "page_id", "url", "address", "bytes", base32(F.col("sha1")).alias("sha1_base32"),
         F.when((F.col("bytes") < min_bytes) | is_first, "response").otherwise("revisit").alias("record_type"),
