@@ -16,19 +16,24 @@ from clickloom.state import settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the trees keep. The trees are fitted on the labelled documents still here."""
-    trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, trees, list(docs.columns)).where("kept").select(*docs.columns)
+    """Documents that the rules and the trees keep. The trees are fitted on the labelled documents still here.
+
+    A null or empty text has no words and goes; every row is judged by itself, whatever its id.
+    """
+    return quality.kept_documents(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines found in five documents or more, except in the last of these."""
-    kept = line_dedup.drop_repeated_lines(docs, list(docs.columns), min_chars=40, min_docs=5)
-    text = F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))
-    out = kept.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
-    return out.select(*docs.columns)
+    """Texts without the lines found in five documents or more, except in the last of these.
+
+    No row is lost: a null text stays null, a text that loses all lines becomes empty. Rows equal in id and
+    text lose the same lines.
+    """
+    slim = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
+    kept = line_dedup.drop_repeated_lines(slim, ["doc"], min_chars=40, min_docs=5)
+    text = F.when(F.col("_n_dropped") > 0, F.col("_kept")).otherwise(F.col("doc.text"))
+    put = {"text": text, "n_chars": F.coalesce(F.length(text).cast("bigint"), F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*[put.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +49,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     chosen = settle(
         rows.groupBy("label", F.when(F.col("label").isNull(), F.col("row")).alias("lone"))
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")).alias("first"))
-        .select(F.col("first.row").alias("_row"), (F.col("label").isNotNull() & (F.col("first.copies") > 1)).alias("_repeated")),
+        .select(F.col("first.row").alias("row"), (F.col("label").isNotNull() & (F.col("first.copies") > 1)).alias("repeated")),
         "pipeline_chosen",
     )
     row = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_row", row)
-    whole = keyed.join(chosen.where("not _repeated"), "_row", "left_semi").select(*docs.columns)
+    # The document travels as one struct: no column of it can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row"))
+    whole = keyed.join(chosen.where("not repeated"), "row", "left_semi").select("doc.*")
     # Rows equal in id and text: reduced to the least of them, however many there are.
-    repeated = keyed.join(chosen.where("_repeated"), "_row", "left_semi")
-    once = repeated.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*")
-    return whole.unionByName(once)
+    repeated = keyed.join(chosen.where("repeated"), "row", "left_semi")
+    return whole.unionByName(repeated.groupBy("row").agg(F.min("doc").alias("least")).select("least.*"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
