@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.numeric import clip01, logit, sigmoid
+from clickloom.functions.numeric import clip01, logit
 from clickloom.operators.joins import match_join
 from clickloom.operators.ranking import running_totals
 
@@ -85,11 +87,25 @@ def temperature_losses(df: DataFrame, label: str, score: str) -> DataFrame:
     Each task folds its rows into 51 running sums; only those are shuffled.
     """
     z = logit(clip01(F.col(score).cast("double"), missing=0.5))
-    grid = F.array(*[F.lit(t) for t in TEMPERATURES])
-    tried = df.select(label, z.alias("_z"), F.posexplode(grid).alias("step", "t"))
-    sums = _loss_sums(sigmoid(F.col("_z") / F.col("t")), label, 1e-9)
-    losses = tried.groupBy("step", "t").agg(*[a.alias(n) for n, a in sums.items()])
-    return losses.select("step", "t", _balanced().alias("wll"))
+    rows = df.where(F.col(label).isNotNull()).select(z.alias("z"), (F.col(label) == 1).alias("positive"))
+    ddl = "step int, t double, _lp double, _ln double, _np bigint, _nn bigint"
+    sums = rows.mapInArrow(_loss_sums_of_temperatures, ddl).groupBy("step", "t")
+    return sums.agg(*[F.sum(c).alias(c) for c in ("_lp", "_ln", "_np", "_nn")]).select("step", "t", _balanced().alias("wll"))
+
+
+def _loss_sums_of_temperatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    steps, eps = np.array(TEMPERATURES), 1e-9
+    losses, rows = np.zeros((2, len(steps))), np.zeros(2, np.int64)
+    for b in batches:
+        z, positive = b.column("z").to_numpy(), b.column("positive").to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            q = np.clip(1 / (1 + np.exp(-z[:, None] / steps)), eps, 1 - eps)
+        losses[0] -= np.log(q[positive]).sum(0)
+        losses[1] -= np.log(1 - q[~positive]).sum(0)
+        rows += (positive.sum(), (~positive).sum())
+    one = np.ones(len(steps), np.int64)
+    columns = [np.arange(len(steps), dtype=np.int32), steps, *losses, rows[0] * one, rows[1] * one]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["step", "t", "_lp", "_ln", "_np", "_nn"])
 
 
 def fit_temperature(df: DataFrame, label: str, score: str) -> DataFrame:

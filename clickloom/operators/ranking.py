@@ -130,15 +130,16 @@ def hash_rank(
 
 
 def hash_edges(
-    df: DataFrame, id_col: str, quotas: DataFrame, strata: list[str], seed: int, few: bool = True
+    df: DataFrame, id_col: str, quotas: DataFrame, strata: list[str], seed: int, few: bool = True, runs: DataFrame | None = None
 ) -> DataFrame:
     """The last (hash, id) allowed by each quota; null when the quota takes every row.
 
     ``quotas`` has rows (strata, ``place``, ``need``); with ``few`` they are broadcast. A histogram
-    of the hash finds the bucket in which a quota ends, and only that bucket is ranked.
+    of the hash finds the bucket in which a quota ends, and only that bucket is ranked. Pass the histogram
+    as ``runs`` if it has been taken already.
     """
     keyed = _hashed(df, id_col, strata, seed)
-    runs = _bucket_starts(keyed, strata)
+    runs = _bucket_starts(keyed, strata) if runs is None else runs
     ends_in = match_join(runs, quotas, strata, "inner", small=few).where(
         (F.col("_upto") - F.col("_n") < F.col("need")) & (F.col("need") <= F.col("_upto"))
     ).select(*strata, "place", "_b", (F.col("need") - F.col("_upto") + F.col("_n")).alias("_left"))
@@ -185,9 +186,11 @@ def even_folds(
     """
     strata = list(strata)
     places = F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("place")
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).select(*strata, "_n", places)
+    # One histogram gives the sizes and the buckets in which the folds end.
+    runs = settle(_bucket_starts(_hashed(df, id_col, strata, seed), strata), "fold_buckets")
+    sizes = runs.groupBy(*strata).agg(F.sum("_n").alias("_n")).select(*strata, "_n", places)
     need = F.ceil(F.col("_n") * F.col("place") / F.lit(k)).cast("bigint").alias("need")
-    cuts = hash_edges(df, id_col, sizes.select(*strata, "place", need), strata, seed)
+    cuts = hash_edges(df, id_col, sizes.select(*strata, "place", need), strata, seed, runs=runs)
     listed = cuts.groupBy(*strata).agg(
         F.collect_list("_edge").alias("_edges")
     )

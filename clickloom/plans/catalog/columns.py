@@ -151,21 +151,25 @@ def reindex_to_schema(spark, sf):
     return tables.reindex(ads(spark, sf), ["absent", "gender", "event_id"], 0)
 
 
-@query('SELECT "ID", clicked, gender FROM impressions WHERE event_id % 5 < 4')
+@query('SELECT "ID", CASE WHEN event_id % 5 < 4 THEN clicked END AS clicked, gender FROM impressions')
 def union_of_schemas(spark, sf):
-    """Columns of train, then those only test has; absent ones are null."""
+    """Rows of train and test under the columns of either; absent ones are null."""
     train, test = train_test(ads(spark, sf).select("ID", "clicked", "gender", "event_id"))
-    names = tables.union_names(train.select("clicked", "gender"), test.select("ID", "gender"))
-    return tables.reindex(train, names).select("ID", "clicked", "gender")
+    train, test = train.select("clicked", "gender", "ID"), test.select("ID", "gender")
+    names = tables.union_names(train, test)
+    both = tables.reindex(train, names).unionByName(tables.reindex(test, names))
+    return both.select("ID", F.col("clicked").cast("int").alias("clicked"), "gender")
 
 
-@query("SELECT gender, age_group FROM impressions WHERE event_id % 5 = 4")
+@query("SELECT event_id % 5 = 4 AS is_test, gender, age_group FROM impressions")
 def shared_feature_columns(spark, sf):
+    """Both splits under the columns they share."""
     train, test = train_test(ads(spark, sf))
     names = tables.shared_features(
         train.select("event_id", "clicked", "gender", "age_group", "hour"), test.drop("hour"), ["event_id", "clicked"]
     )
-    return test.select(*names)
+    parts = [df.select(F.lit(is_test).alias("is_test"), *names) for df, is_test in ((train, False), (test, True))]
+    return parts[0].unionByName(parts[1])
 
 
 @query('SELECT event_id, feat_a_1, feat_c_2, feat_e_3, history_a_1, history_a_2, l_feat_1, clicked FROM impressions')

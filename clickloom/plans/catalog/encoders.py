@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from clickloom.functions import numeric
+from clickloom.functions import casts, numeric
 from clickloom.functions.hashing import affine_fold
 from clickloom.operators import encoding, scaling, target_encoding
 from clickloom.operators import joins
@@ -149,13 +149,17 @@ def rare_values_bucketed(spark, sf):
     return encoding.bucket_rare(test, rare, cats, ["event_id"]).select("event_id", *cats)
 
 
-@query(D_SPLIT + """, codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code FROM (SELECT DISTINCT age_group AS v FROM train WHERE age_group IS NOT NULL AND age_group <> '2.0'))
-SELECT event_id, coalesce(code, -1) AS age_group FROM test LEFT JOIN codes ON age_group = v""")
+D_SPOT = "age_group || '_' || inventory_id || '_' || hour"
+
+
+@query(D_SPLIT + f""", codes AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code FROM (SELECT DISTINCT {D_SPOT} AS v FROM train WHERE age_group IS NOT NULL))
+SELECT event_id, coalesce(code, -1) AS spot FROM test LEFT JOIN codes ON {D_SPOT} = v""")
 def ordinal_codes(spark, sf):
     """Sorted training values numbered from 0; unseen and missing values are -1."""
-    train, test = train_test(ads(spark, sf))
-    codes = encoding.fit_codes(train.where("age_group <> '2.0'"), ["age_group"])
-    return encoding.apply_codes(test, codes, ["age_group"], spread=["event_id"]).select("event_id", "age_group")
+    df = ads(spark, sf).withColumn("spot", casts.joined("age_group", "inventory_id", "hour"))
+    train, test = train_test(df)
+    codes = encoding.fit_codes(train, ["spot"])
+    return encoding.apply_codes(test, codes, ["spot"], spread=["event_id"]).select("event_id", "spot")
 
 
 @query("""SELECT event_id, CAST(dense_rank() OVER (ORDER BY coalesce(age_group, 'nan')) - 1 AS INT) AS age_group,
@@ -318,7 +322,7 @@ def user_features_from_bucketed_table(spark, sf):
 @query("""SELECT event_id, CASE WHEN n <= 50 THEN '0-50' WHEN n <= 200 THEN '51-200' WHEN n <= 500 THEN '201-500' ELSE '500+' END AS length_bin,
 CAST(n < 50 AS TINYINT) AS is_very_short FROM (SELECT event_id, len(string_split(seq, ',')) * 20 AS n FROM impressions)""")
 def length_bins(spark, sf):
-    from clickloom.functions import casts, sequences
+    from clickloom.functions import sequences
 
     n = F.size(casts.tokens("seq")) * 20
     return logs(spark, sf).select(

@@ -65,17 +65,15 @@ def train_stats_on_test(spark, sf):
 @query(f"""
 , train AS (SELECT * FROM impressions WHERE event_id % 5 < 4), test AS (SELECT * FROM impressions WHERE event_id % 5 = 4)
 SELECT event_id, {d6('coalesce(rate, (SELECT avg(clicked) FROM train))')} AS rate FROM test LEFT JOIN (
-  SELECT age_group, avg(clicked) AS rate FROM train WHERE age_group IS NOT NULL GROUP BY age_group HAVING age_group <> '3.0'
-) USING (age_group)""")
+  SELECT age_group, inventory_id, hour, avg(clicked) AS rate FROM train GROUP BY ALL
+) USING (age_group, inventory_id, hour)""")
 def lookup_with_default(spark, sf):
-    """Keys without an entry get the global mean."""
+    """Keys never seen in training, and null keys, get the global mean."""
     train, test = train_test(ads(spark, sf))
-    rates = settle(
-        joins.with_group_stats(train, ["age_group"], rate=F.avg("clicked"), n=F.count(F.lit(1)))
-        .where("age_group <> '3.0'"), "rates",
-    )
+    keys = ["age_group", "inventory_id", "hour"]
+    rates = settle(joins.with_group_stats(train, keys, rate=F.avg("clicked"), n=F.count(F.lit(1))), "rates")
     prior = train.agg(F.avg("clicked").alias("prior"))
-    found = joins.cross_one(joins.lookup_join(test, rates, ["age_group"], "n", ["event_id"]), prior)
+    found = joins.cross_one(joins.lookup_join(test, rates, keys, "n", ["event_id"]), prior)
     return found.select("event_id", r6(F.coalesce("rate", "prior")).alias("rate"))
 
 
