@@ -62,6 +62,7 @@ def at_end(items: Column, back: int, default: int = -1) -> Column:
 
 def length_bin(n: Column) -> Column:
     """Session length class; a null length falls to the last class."""
+    # The limits and names of the classes.
     return (
         F.when(n <= 50, "0-50").when(n <= 200, "51-200").when(n <= 500, "201-500").otherwise("500+")
     )

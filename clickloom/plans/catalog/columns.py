@@ -88,6 +88,7 @@ def between_filter(spark, sf):
 )
 def time_of_day_bands(spark, sf):
     h = F.col("hour").cast("int")
+    # The hours that bound the bands.
     band = (
         F.when(h.between(6, 11), "Morning").when(h.between(12, 17), "Afternoon")
         .when(h.between(18, 22), "Evening").otherwise("Night")
