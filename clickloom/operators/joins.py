@@ -21,7 +21,7 @@ def _size(table: DataFrame) -> Column:
     width = F.lit(0)
     for f in table.schema.fields:
         kind = f.dataType.typeName()
-        of = {"string": F.octet_length(f.name), "array": 8 * F.size(f.name)}.get(kind, F.lit(8))
+        of = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 8 * F.size(c)}.get(kind, lambda c: F.lit(8))(f.name)
         width = width + F.coalesce(of, F.lit(0))
     return F.greatest(F.count(F.lit(1)), F.ceil(F.coalesce(F.sum(width), F.lit(0)) / ROW_BYTES)).cast("bigint")
 
