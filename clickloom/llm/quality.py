@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from clickloom.llm.common import texts
 from clickloom.llm.textblocks import Words, blocks, grams
@@ -256,13 +257,17 @@ def _judged(docs: DataFrame, trees: Trees, carry: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = statistics(b.column("text").to_pylist())
+            # A carried text is read where it is, not sent beside itself.
+            text = pc.struct_field(b.column("doc"), "text") if carried else b.column("text")
+            s = statistics([t or "" for t in text.to_pylist()])
             score = trees.score(features(s))
             failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
             cols = [*[pa.array(s[c]) for c in COUNTS], pa.array(score), pa.array(failed), pa.array(~failed & (score >= 0))]
             yield pa.RecordBatch.from_arrays([b.column("doc"), *cols], ["doc", *JUDGED])
 
-    slim = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = "text" in carry and docs.schema["text"].dataType == StringType()
+    alone = [] if carried else [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    slim = docs.select(F.struct(*carry).alias("doc"), *alone)
     results = [*[StructField(c, LongType()) for c in COUNTS], StructField("score", DoubleType())]
     results += [StructField(c, BooleanType()) for c in ("base_failed", "kept")]
     return slim.mapInArrow(run, StructType([slim.schema["doc"], *results]))
