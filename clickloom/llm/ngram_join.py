@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from clickloom.llm.common import hot_join, texts
 from clickloom.llm.components import components
-from clickloom.llm.textblocks import Words, blocks, distinct_pairs, mixed, shingles
+from clickloom.llm.textblocks import SMALL_BLOCK_CHARS, Words, blocks, distinct_pairs, mixed, shingles
 from clickloom.state import settle
 
 #: Signatures of one bucket, about.
@@ -87,7 +87,11 @@ def bands(num: int, den: int) -> Bands:
 
 def shingle_sets(held: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, shingle) of the distinct shingles of texts, and the set sizes."""
-    t, h = distinct_pairs(*shingles(Words(held, lower=True), words))
+    found = []
+    for at, few in blocks(held, SMALL_BLOCK_CHARS):
+        t, h = distinct_pairs(*shingles(Words(few, lower=True), words))
+        found.append((t + at, h))
+    t, h = map(np.concatenate, zip(*found, strict=True))
     return t, h, np.bincount(t, minlength=len(held))
 
 
@@ -153,7 +157,7 @@ def _keys(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, k1, k2 = ([] for _ in range(3))
-            for _, held in blocks(b.column("text").to_pylist()):
+            for _, held in blocks(b.column("text")):
                 t, h, sizes = shingle_sets(held, words)
                 a, c = set_keys(t, h, len(held))
                 n.append(sizes), k1.append(a), k2.append(c)
@@ -168,7 +172,7 @@ def _packed(words: int, num: int, den: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, held in blocks(b.column("text").to_pylist()):
+            for _, held in blocks(b.column("text")):
                 t, h, sizes = shingle_sets(held, words)
                 node, _ = set_keys(t, h, len(held))
                 # Copies of a set within the block are one set.
@@ -250,7 +254,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, held in blocks(b.column("text").to_pylist()):
+            for at, held in blocks(b.column("text")):
                 t, h, sizes = shingle_sets(held, words)
                 cuts = np.cumsum(sizes)[:-1]
                 sets = [x.tobytes() for x in np.split(h, cuts)]

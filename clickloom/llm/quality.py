@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from clickloom.llm.common import texts
-from clickloom.llm.textblocks import Words, blocks, grams
+from clickloom.llm.textblocks import SMALL_BLOCK_CHARS, Words, blocks, grams
 
 #: At most about this many labelled documents are used for the fit, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -35,12 +35,12 @@ FEATURES = {
 }
 
 
-def statistics(values: list[str | None]) -> dict[str, np.ndarray]:
+def statistics(values: list[str | None] | pa.Array) -> dict[str, np.ndarray]:
     """Counts of each text of a batch, block by block."""
     out = {c: np.zeros(len(values), np.int64) for c in (*COUNTS, *EXTRA)}
     symbols = np.zeros(128, bool)
     symbols[[ord(c) for c in SYMBOLS]] = True
-    for at, held in blocks(values):
+    for at, held in blocks(values, SMALL_BLOCK_CHARS):
         w, n = Words(held), len(held)
         rows = slice(at, at + n)
         cp, text_at = w.cp, w.text_at[:-1]
@@ -220,7 +220,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = statistics(b.column("text").to_pylist())
+            s = statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(s[c]) for c in (*COUNTS, *EXTRA)]], ["doc_id", *COUNTS, *EXTRA])
 
     ddl = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*COUNTS, *EXTRA))
@@ -259,7 +259,7 @@ def _judged(docs: DataFrame, trees: Trees, carry: list[str]) -> DataFrame:
         for b in batches:
             # A carried text is read where it is, not sent beside itself.
             text = pc.struct_field(b.column("doc"), "text") if carried else b.column("text")
-            s = statistics([t or "" for t in text.to_pylist()])
+            s = statistics(text)
             score = trees.score(features(s))
             failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
             cols = [*[pa.array(s[c]) for c in COUNTS], pa.array(score), pa.array(failed), pa.array(~failed & (score >= 0))]

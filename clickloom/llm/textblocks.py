@@ -5,21 +5,27 @@ Memory follows the block (about a million characters, or one text if that is lon
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK_CHARS = 1_000_000
+#: Where results of a block do not depend on its size: several arrays of eight bytes a character are held at once.
+SMALL_BLOCK_CHARS = 250_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[np.ndarray] = []
 
 
-def blocks(values: Sequence[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of neighbouring texts (null: empty) of about ``chars`` characters, with their first index."""
+def blocks(values: Iterable[str | None] | pa.Array, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Runs of neighbouring texts (null: empty) of about ``chars`` characters, with their first index.
+
+    Of an Arrow array only the block's texts become strings.
+    """
     start, held, size = 0, [], 0
     for i, v in enumerate(values):
-        v = v or ""
+        v = (v.as_py() if isinstance(v, pa.Scalar) else v) or ""
         if held and size + len(v) > chars:
             yield start, held
             start, held, size = i, [], 0
